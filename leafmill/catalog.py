@@ -1,4 +1,6 @@
 """Queries of the core and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from leafmill.plans import documents
+
+QUERIES: dict = {**documents.QUERIES}
+ORACLES: dict = {**documents.ORACLES}

@@ -30,7 +30,7 @@ def chars_per_scene(seconds: Column, low: float = 30.0, high: float = 90.0, per_
 def area_ratio(box: Column, width: Column, height: Column) -> Column:
     """Share of a page that a box covers, 0 without a box or page size."""
     area = (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])
-    return F.coalesce(F.when((width != 0) & (height != 0), clamp(area / F.greatest(F.lit(1.0), width * height), 0.0, 1.0)), F.lit(0.0))
+    return F.coalesce(F.when(area.isNotNull() & (width != 0) & (height != 0), clamp(area / F.greatest(F.lit(1.0), width * height), 0.0, 1.0)), F.lit(0.0))
 
 
 def expanded_box(box: Column, width: Column, height: Column, pad: float) -> Column:

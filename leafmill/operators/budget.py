@@ -39,8 +39,8 @@ def trimmed(scenes: DataFrame, group: str, most: float, least_rows: int = 3) ->
     """
     totals = scenes.groupBy(group).agg(F.sum("seconds").alias("_total"), F.count(F.lit(1)).alias("_rows"))
     open_kinds = scenes.filter(~F.coalesce(F.lower("kind"), F.lit("")).isin(KEPT_KINDS)).withColumn("_order", F.col("score").cast("long") * 2**32 + F.col("seq"))
-    sums = running_sum(open_kinds, [group], "_order", F.col("seconds"), "_gone", block=2**36)
-    sums = running_sum(sums, [group], "_order", F.lit(1), "_dropped", block=2**36)
+    sums = running_sum(open_kinds, [group], "_order", F.col("seconds"), "_gone")
+    sums = running_sum(sums, [group], "_order", F.lit(1), "_dropped")
     gone = sums.join(totals, group).filter((F.col("_total") - F.col("_gone") > most) & (F.col("_rows") - F.col("_dropped") > least_rows)).select(group, "seq")
     return scenes.join(gone, [group, "seq"], "left_anti")
 
