@@ -1,6 +1,6 @@
 """Queries of the core and their DuckDB SQL."""
 
-from leafmill.plans import documents
+from leafmill.plans import documents, relational, streams
 
-QUERIES: dict = {**documents.QUERIES}
-ORACLES: dict = {**documents.ORACLES}
+QUERIES: dict = {**documents.QUERIES, **relational.QUERIES, **streams.QUERIES}
+ORACLES: dict = {**documents.ORACLES, **relational.ORACLES, **streams.ORACLES}
