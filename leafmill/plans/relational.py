@@ -70,7 +70,7 @@ def order_ranks(spark, d):
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM events")
 def events_last_hour(spark, d):
     """Rows are laid on their own hour and on the next one, so a window never spans more than two hours of a user."""
-    e = table(spark, d, "events").select("event_id", "user_id", F.unix_micros("ts").alias("us"))
+    e = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     e = e.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("later"), F.floor(F.col("us") / 3_600_000_000).alias("hour")).withColumn("hour", F.col("hour") + F.col("later"))
     w = Window.partitionBy("user_id", "hour").orderBy("us").rangeBetween(-3_600_000_000, 0)
     return e.withColumn("last_hour", F.count(F.lit(1)).over(w)).filter("later = 0").select("event_id", "last_hour")
