@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 #: White space in the sense of Unicode, with the ASCII separators that text tools count as well; inside and as a class.
 WS_IN = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 WS = f"[{WS_IN}]"
+#: The same characters one by one, for trimming without a pattern.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # The blocks that count as CJK characters.
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2EBEF}\x{30000}-\x{3134F}\x{F900}-\x{FAFF}"
 # Sentence marks, and marks that are trimmed from the ends of a quotation.
@@ -44,7 +47,7 @@ def cjk_char_count(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def normalise_text(text: Column) -> Column:
@@ -67,18 +70,22 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(flat, f"(?<=[{SENTENCE_MARKS}]){WS}*"), strip), lambda s: F.length(s) > 0)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_quote(text: Column, most: int = 80) -> Column:
     """Without white space and marks at the ends, cut to `most` characters and without marks at the cut."""
-    marks = f"[{TRIMMED_MARKS}]"
-    s = F.regexp_replace(F.regexp_replace(text, f"^{WS}*{marks}*{WS}*", ""), f"{WS}*{marks}*{WS}*$", "")
-    return F.when(F.length(s) <= most, s).otherwise(F.regexp_replace(F.substring(s, 1, most), f"{marks}+$", ""))
+    marks = F.lit(TRIMMED_MARKS)
+    return bound(strip(F.btrim(strip(text), marks)), lambda s: F.when(F.length(s) <= most, s).otherwise(F.rtrim(F.substring(s, 1, most), marks)))
 
 
 def surrounding_quote(text: Column, start: Column, match: Column, window: int = 60) -> Column:
     """The match with what stands around it in its sentence, `window` characters to either side at most. start counts from 0."""
     left = F.substring(text, F.greatest(start - window, F.lit(0)) + 1, F.least(start, F.lit(window)))
     right = F.substring(text, start + F.length(match) + 1, F.lit(window))
-    return trim_quote(F.concat(F.regexp_extract(left, f"([^{SENTENCE_MARKS}]*)$", 1), match, F.regexp_extract(right, f"^([^{SENTENCE_MARKS}]*[{SENTENCE_MARKS}]?)", 1)))
+    return trim_quote(F.concat(F.regexp_replace(left, f"(?s)^.*[{SENTENCE_MARKS}]", ""), match, F.regexp_extract(right, f"^([^{SENTENCE_MARKS}]*[{SENTENCE_MARKS}]?)", 1)))
 
 
 def short_context(quote: Column, anchor: Column, most: int = 60) -> Column:
@@ -275,5 +282,6 @@ def stable_hash(*parts: Column) -> Column:
 
 def count_words(text: Column, words: list[str]) -> Column:
     """Sum over the words of their non-overlapping occurrences in a lower-case text; each word counts on its own."""
-    counted = [((F.length(text) - F.length(F.replace(text, F.lit(w)))) / len(w)).cast("int") for w in words]
+    # Bytes are known without a walk through the text, characters are not.
+    counted = [((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(w)))) / len(w.encode())).cast("int") for w in words]
     return sum(counted[1:], counted[0]) if counted else F.lit(0)

@@ -47,7 +47,8 @@ PATTERNS = (
 def _spans(text: Column, no: int, p: Pattern) -> Column:
     """array<struct<no,start,match,value>> of all matches: the gaps between them give their places."""
     gaps, hits = F.split(text, p.expression, -1), F.regexp_extract_all(text, F.lit(p.expression), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(p.expression), F.lit(1))
+    # Where the group is the whole pattern, its matches are the values.
+    values = hits if _whole_group(p.expression) else F.regexp_extract_all(text, F.lit(p.expression), F.lit(1))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<no:int,start:int,match:string,value:string>>").alias("out"))
 
     def step(acc, x):
@@ -57,7 +58,19 @@ def _spans(text: Column, no: int, p: Pattern) -> Column:
 
     # The last gap has no match behind it; zip only as far as there are matches.
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
-    return F.when(F.size(hits) > 0, F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(zero["out"])
+    # Most patterns are not in most texts: one search decides whether a text is split.
+    return F.when(text.rlike(p.expression), F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<no:int,start:int,match:string,value:string>>"))
+
+
+def _whole_group(expression: str) -> bool:
+    """Whether the first group spans the whole expression."""
+    depth = 0
+    for i, c in enumerate(expression):
+        if c in "()" and expression[i - 1 : i] != "\\":
+            depth += 1 if c == "(" else -1
+            if depth == 0:
+                return i == len(expression) - 1 and expression.startswith("(") and not expression.startswith("(?")
+    return False
 
 
 def facts(rows: DataFrame, *keys: str, text: str = "text", patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
@@ -66,14 +79,13 @@ def facts(rows: DataFrame, *keys: str, text: str = "text", patterns: tuple[Patte
     every = F.flatten(F.array(*(_spans(t, k, p) for k, p in enumerate(patterns))))
     same = lambda x, y: (x["start"] == y["start"]) & (F.length(x["match"]) == F.length(y["match"]))
     fresh = F.filter("_spans", lambda x: ~F.exists("_spans", lambda y: (y["no"] < x["no"]) & same(x, y)))
-    found = rows.filter(t.isNotNull()).select(*keys, t.alias("_text"), every.alias("_spans")).filter(F.size("_spans") > 0)
-    found = found.select(*keys, "_text", F.explode(fresh).alias("s"))
+    found = rows.filter(t.isNotNull()).select(*keys, t.alias("_text"), every.alias("_spans"))
+    # Values and quotations are made inside the row, so the filter on them is not evaluated a second time.
+    told = F.transform(fresh, lambda s: F.struct(s["no"].alias("no"), s["start"].alias("start"), trim_quote(s["value"], 40).alias("value"), surrounding_quote(F.col("_text"), s["start"], s["match"]).alias("quote")))
+    found = found.select(*keys, F.explode(F.filter(told, lambda s: (F.length(s["value"]) > 0) & (F.length(s["quote"]) > 0))).alias("s"))
     about = F.element_at(F.array(*(F.struct(F.lit(p.kind).alias("kind"), F.lit(p.label).alias("label"), F.lit(p.importance).alias("importance")) for p in patterns)), F.col("s.no") + 1)
-    out = found.select(
-        *keys, F.col("s.no").alias("pattern_no"), about.alias("p"), F.col("s.start").alias("start"), trim_quote(F.col("s.value"), 40).alias("value"),
-        surrounding_quote(F.col("_text"), F.col("s.start"), F.col("s.match")).alias("quote"),
-    )
-    return out.filter((F.length("value") > 0) & (F.length("quote") > 0)).select(*keys, "pattern_no", "p.kind", "p.label", "p.importance", "start", "value", "quote")
+    out = found.select(*keys, F.col("s.no").alias("pattern_no"), about.alias("p"), F.col("s.start").alias("start"), F.col("s.value").alias("value"), F.col("s.quote").alias("quote"))
+    return out.select(*keys, "pattern_no", "p.kind", "p.label", "p.importance", "start", "value", "quote")
 
 
 def sentences(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -40,79 +40,74 @@ def page_islands(rows: DataFrame, group: str, order: str) -> DataFrame:
     return ends.withColumn("last", F.lead("at").over(following)).filter("end = 0").select(group, F.col("at").alias("first"), "last")
 
 
-_TABLE = "grp long, blk long, brk long, carry long, packed long"
-
-
-def _block_table(key: tuple, pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """For every page at which an open chunk could be closed in this block: the size of the open chunk at the block's end.
+def _block_table(sizes: list[int], most: int) -> list[tuple[int, int, int]]:
+    """For every page at which the chunk open before this block could close: (sum before it, size of the chunk open at the end, chunks).
 
     A chunk that comes into the block with `carry` characters closes before the first page whose running sum exceeds most - carry. Pages
-    further than that cannot be first, so the table ends with the first page whose own running sum exceeds the limit.
+    further than the limit cannot be first. The last entry is for a block that closes nothing.
     """
-    pdf = pdf.sort_values("page")
-    sizes = pdf["size"].tolist()
-    sums, total = [], 0
+    sums, total, n = [], 0, len(sizes)
     for s in sizes:
         total += s
         sums.append(total)
-    n = len(sizes)
+    before = [0, *sums]
     # From each start: the page before which the chunk closes next.
-    following = [bisect.bisect_right(sums, most + (sums[i - 1] if i else 0), lo=min(i + 1, n)) for i in range(n)]
-    carry, chunks = [0] * (n + 1), [0] * (n + 1)
+    following = [bisect.bisect_right(sums, most + before[i], lo=min(i + 1, n)) for i in range(n)]
+    carry, chunks = [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
         j = following[i]
-        carry[i], chunks[i] = (total - (sums[i - 1] if i else 0), 1) if j >= n else (carry[j], chunks[j] + 1)
-    out = [(key[0], key[1], sums[i - 1] if i else 0, carry[i], chunks[i]) for i in range(n) if (sums[i - 1] if i else 0) <= most]
-    # Without a break the whole block goes on.
-    return pd.DataFrame([*out, (key[0], key[1], total, -1, 0)], columns=["grp", "blk", "brk", "carry", "packed"])
+        carry[i], chunks[i] = (total - before[i], 1) if j >= n else (carry[j], chunks[j] + 1)
+    return [*((before[i], carry[i], chunks[i]) for i in range(n) if before[i] <= most), (total, -1, 0)]
 
 
 def _stitch(key: tuple, pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """The open chunk and the number of chunks closed before each block, block after block."""
+    """The open chunk's size and number before each block, block after block. One row per block comes in."""
     out, carry, closed, opened = [], 0, 0, False
-    for blk, part in pdf.sort_values(["blk", "brk"]).groupby("blk"):
+    for blk, table in pdf.sort_values("blk")[["blk", "table"]].itertuples(index=False):
         out.append((key[0], blk, carry if opened else -1, closed))
-        sums, ends = part["brk"].tolist(), part["carry"].tolist()
-        total, packed = sums[-1], part["packed"].tolist()
+        sums = [e["brk"] for e in table]
         if not opened:
-            i = 0
-            closed += packed[0] - 1
-            carry, opened = ends[0], True
-            continue
-        # The sum before the first page that does not fit: the last one that still fits.
-        if carry + total <= most:
-            carry += total
-            continue
-        i = max(0, bisect.bisect_right(sums[:-1], most - carry) - 1)
-        closed += 1 + packed[i] - 1
-        carry = ends[i]
+            carry, closed, opened = table[0]["carry"], table[0]["packed"] - 1, True
+        elif carry + sums[-1] <= most:
+            carry += sums[-1]
+        else:
+            e = table[max(0, bisect.bisect_right(sums[:-1], most - carry) - 1)]
+            carry, closed = e["carry"], closed + e["packed"]
     return pd.DataFrame(out, columns=["grp", "blk", "carry_in", "closed"])
 
 
-def _number(key: tuple, pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Chunk numbers inside a block, from the chunk that is open at its beginning."""
-    pdf = pdf.sort_values("page")
-    carry, no, out = int(pdf["carry_in"].iloc[0]), int(pdf["closed"].iloc[0]), []
-    for page, size in zip(pdf["page"], pdf["size"], strict=True):
-        if carry >= 0 and carry + size > most:
-            no, carry = no + 1, 0
-        carry = max(carry, 0) + size
-        out.append((key[0], page, no + 1))
-    return pd.DataFrame(out, columns=["grp", "page", "chunk_no"])
-
-
 def pack(pages: DataFrame, group: str, order: str, size: str, most: int, block: int = BLOCK) -> DataFrame:
     """group, order, chunk_no: consecutive rows packed greedily; a row that would exceed `most` opens a new chunk unless it is the first.
 
     Greedy packing depends on all rows before, but a block's effect on what follows is a small table: from which page on it packs anew.
-    Blocks make their tables in parallel, one short pass per group stitches them, and the blocks number their rows in parallel again.
+    Groups of one block, the most, are packed inside one expression. The blocks of larger groups make their tables in parallel, one pass
+    over a row per block stitches them, and the blocks number their rows in parallel again.
     """
     rows = pages.filter(F.col(group).isNotNull() & F.col(order).isNotNull()).select(F.col(group).cast("long").alias("grp"), F.col(order).cast("long").alias("page"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
-    rows = rows.withColumn("blk", F.floor(F.col("page") / block))
-    tables = rows.groupBy("grp", "blk").applyInPandas(lambda k, pdf: _block_table(k, pdf, most), _TABLE)
-    starts = tables.groupBy("grp").applyInPandas(lambda k, pdf: _stitch(k, pdf, most), "grp long, blk long, carry_in long, closed long")
-    numbered = rows.join(starts, ["grp", "blk"]).groupBy("grp", "blk").applyInPandas(lambda k, pdf: _number(k, pdf, most), "grp long, page long, chunk_no long")
-    return numbered.select(F.col("grp").alias(group), F.col("page").alias(order), "chunk_no")
+    # Two rows of one place are packed in the order of their size. A block holds `block` places of the order at most.
+    blocks = rows.groupBy("grp", F.floor(F.col("page") / block).alias("blk")).agg(F.sort_array(F.collect_list(F.struct("page", "size"))).alias("pages"))
+    span = blocks.groupBy("grp").agg(F.count(F.lit(1)).alias("blocks"))
+    large = blocks.join(span.filter("blocks > 1").select("grp"), "grp", "left_semi")
+
+    def tables(batches):
+        for pdf in batches:
+            made = [[{"brk": b, "carry": c, "packed": p} for b, c, p in _block_table([x["size"] for x in pages], most)] for pages in pdf["pages"]]
+            yield pd.DataFrame({"grp": pdf["grp"], "blk": pdf["blk"], "table": made})
+
+    made = large.mapInPandas(tables, "grp long, blk long, table array<struct<brk:long,carry:long,packed:long>>")
+    starts = made.groupBy("grp").applyInPandas(lambda k, pdf: _stitch(k, pdf, most), "grp long, blk long, carry_in long, closed long")
+    ready = blocks.join(starts, ["grp", "blk"], "left")
+    out_type = "array<struct<page:bigint,no:bigint>>"
+    zero = F.struct(F.coalesce("carry_in", F.lit(-1)).cast("long").alias("carry"), F.coalesce("closed", F.lit(0)).cast("long").alias("no"), F.array().cast(out_type).alias("out"))
+
+    def step(acc, x):
+        opens = (acc["carry"] >= 0) & (acc["carry"] + x["size"] > most)
+        no = acc["no"] + F.when(opens, F.lit(1)).otherwise(F.lit(0))
+        held = F.when(opens, F.lit(0)).otherwise(F.greatest(acc["carry"], F.lit(0)))
+        return F.struct((held + x["size"]).cast("long").alias("carry"), no.cast("long").alias("no"), F.concat(acc["out"], F.array(F.struct(x["page"].alias("page"), (no + 1).cast("long").alias("no")))).cast(out_type).alias("out"))
+
+    numbered = ready.select("grp", F.explode(F.aggregate("pages", zero, step, lambda acc: acc["out"])).alias("p"))
+    return numbered.select(F.col("grp").alias(group), F.col("p.page").alias(order), F.col("p.no").alias("chunk_no"))
 
 
 def renumbered(rows: DataFrame, group: str, order: list[str], name: str = "new_id", form: str = "%s_sc_%03d", block: int = BLOCK) -> DataFrame:

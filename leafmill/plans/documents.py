@@ -6,10 +6,19 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import numeric, text
 from leafmill.operators import budget, classify, extract, figures, ground, quality, sequence, state
-from leafmill.sources.tables import table
+from leafmill.session import spread
+from leafmill.sources.tables import table as _table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Tables of texts, on which the queries here spend much work per row, and their keys.
+TEXTS = {"pdf_pages": "page_id", "pdf_chunks": "chunk_key", "documents": "doc_id"}
+
+
+def table(spark, root: str, name: str):
+    """A scan; a table of texts that comes in fewer partitions than there are cores is spread."""
+    rows = _table(spark, root, name)
+    return spread(rows, TEXTS[name]) if name in TEXTS else rows
 
 
 def query(oracle: str | None = None):
