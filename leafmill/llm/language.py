@@ -10,8 +10,8 @@ LANGUAGES = ("zh", "ja", "th", "hi", "en", "de", "fr", "es")
 # Words that are frequent in one of the languages in Latin script and rare in the others.
 WORDS = {
     "en": "the of and is was that for with by from this which are at be to has not each said after before how why does follows".split(),
-    "de": "der die das und ist nicht mit von für auf dem den des ein eine wird bei zu im als auch so wie fallen gilt dieser wozu sofort hinweis".split(),
-    "fr": "le les des et est une du dans que qui pour sur pas plus cette selon été aussi avec au aux à voir pouvait reste".split(),
+    "de": "der die das und ist nicht mit von für auf dem den des ein eine wird bei zu im als auch so wie fallen gilt dieser wozu sofort hinweis zur zum vom im aus werden rund siehe nach wozu steht".split(),
+    "fr": "le les des et est une du dans que qui pour sur pas plus cette selon été aussi avec au aux à voir pouvait reste l d qu par ou".split(),
     "es": "el los las y una del que para por con se según también más está fue como sobre al su esta véase cerca quedó".split(),
 }
 _LANGUAGE_OF: dict[str, list[str]] = {}
@@ -39,8 +39,13 @@ def language(text: str) -> str:
     return latin_language(text)
 
 
+def latin_votes(text: str) -> Counter:
+    """How many of a text's words speak for each language in Latin script."""
+    return Counter(lang for w in _TOKEN.findall(text.lower()) for lang in _LANGUAGE_OF.get(w, ()))
+
+
 def latin_language(text: str) -> str:
-    votes = Counter(lang for w in _TOKEN.findall(text.lower()) for lang in _LANGUAGE_OF.get(w, ()))
+    votes = latin_votes(text)
     if votes:
         return max(sorted(votes), key=votes.__getitem__)
     if re.search("[äöüß]", text):
@@ -48,3 +53,13 @@ def latin_language(text: str) -> str:
     if re.search("[ñ¿¡]", text):
         return "es"
     return "fr" if re.search("[èêëàçùœ]", text) else "en"
+
+
+def part_language(part: str, whole: str) -> str:
+    """The language of a part of a text; where a part in Latin script says too little, that of the whole text's Latin words."""
+    lang = language(part)
+    if lang in WORDS:
+        votes = latin_votes(part).most_common(2)
+        if not votes or votes[0][1] < 2 or len(votes) > 1 and votes[0][1] < 2 * votes[1][1]:
+            return latin_language(whole)
+    return lang
