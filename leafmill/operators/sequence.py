@@ -110,15 +110,20 @@ def pack(pages: DataFrame, group: str, order: str, size: str, most: int, block:
     return numbered.select(F.col("grp").alias(group), F.col("p.page").alias(order), F.col("p.no").alias("chunk_no"))
 
 
-def renumbered(rows: DataFrame, group: str, order: list[str], name: str = "new_id", form: str = "%s_sc_%03d", block: int = BLOCK) -> DataFrame:
-    """Running number within a group, in the order of integer columns, as an id; large groups are numbered block by block."""
+def numbered(rows: DataFrame, group: str, order: list[str], name: str, block: int = BLOCK) -> DataFrame:
+    """rows with a running number from 1 within a group, in the order of integer columns; large groups are numbered block by block."""
     rows = rows.withColumn("_block", F.floor(F.col(order[0]) / block))
     sizes = rows.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(group, "_block").orderBy(*order)
-    numbered = rows.join(offsets, [group, "_block"]).withColumn("_no", F.col("_offset") + F.row_number().over(inside))
-    return numbered.withColumn(name, F.format_string(form, F.col(group).cast("string"), F.col("_no"))).drop("_block", "_offset", "_no")
+    placed = rows.join(offsets, [group, "_block"]).withColumn(name, F.col("_offset") + F.row_number().over(inside))
+    return placed.drop("_block", "_offset")
+
+
+def renumbered(rows: DataFrame, group: str, order: list[str], name: str = "new_id", form: str = "%s_sc_%03d", block: int = BLOCK) -> DataFrame:
+    """The running number as an id."""
+    return numbered(rows, group, order, "_running", block).withColumn(name, F.format_string(form, F.col(group).cast("string"), F.col("_running"))).drop("_running")
 
 
 def canonical_ids(rows: DataFrame, group: str, order: str, id_col: str, form: str = r"^ch_\d{3,}$") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import numeric, text
-from leafmill.operators import budget, classify, extract, figures, ground, quality, sequence, state
+from leafmill.operators import budget, classify, extract, figures, ground, quality, sequence, state, storyboard
 from leafmill.session import spread
 from leafmill.sources.tables import table as _table
 
@@ -469,3 +469,89 @@ def error_resolution(spark, d):
     errors = e.filter("value < 5").select(F.col("event_type").alias("stage"), F.col("ts").alias("created_at"))
     done = e.filter("value > 95").select(F.col("event_type").alias("stage"), F.col("ts").alias("finished_at"))
     return state.error_status(errors, done).groupBy("stage").agg(F.count(F.lit(1)).alias("errors"), F.count_if("active").alias("active"))
+
+
+# ---------------------------------------------------------------- storyboards
+
+_W = lambda words: sql("|".join(words))
+_SENT = f"SELECT p.src_id, s0.page_id, (n - 1)::INTEGER AS sentence_no, s[n] AS sentence FROM (SELECT page_id, {SQL_SENTENCES} AS s FROM pdf_pages WHERE text IS NOT NULL) s0 JOIN pdf_pages p ON p.page_id = s0.page_id, unnest(range(1, len(s) + 1)) u(n)"
+_RISK = " + ".join(f"CASE WHEN regexp_matches(sentence, {_W(w)}) THEN {k} ELSE 0 END" for k, w in storyboard.RISK_WEIGHTS)
+
+
+def _ranked_sql(rows: str, kind: str, slot: str, order: str, text_: str, value: str = "''", condition: str = "''") -> str:
+    return f"SELECT src_id, '{kind}' AS scene_kind, '{slot}' AS slot, ordinal::INTEGER AS ordinal, page_id, {text_} AS text, {value} AS value, {condition} AS condition FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY {order}) AS ordinal FROM {rows}) WHERE ordinal <= 6"
+
+
+_LABELS = lambda names: ", ".join(f"'{n}'" for n in names)
+_NEAR = "CASE WHEN strpos(quote, value) > 0 THEN substring(quote, greatest(strpos(quote, value) - 21, 0) + 1, strpos(quote, value) - 1 - greatest(strpos(quote, value) - 21, 0) + length(value) + 30) ELSE quote END"
+ITEMS_SQL = f"""WITH f0 AS ({_fact_sql("page_id, pattern_no, label, start, value, quote")}), f1 AS (SELECT p.src_id, f0.*, {_NEAR} AS near FROM f0 JOIN pdf_pages p ON p.page_id = f0.page_id), f AS (SELECT *, {sql_trim('near', 60)} AS ctx FROM f1), st AS ({_SENT}),
+    c0 AS (SELECT src_id, page_id, sentence_no, sentence AS sent, {_first_sql(CONDITIONS, 'sentence')} AS c, {_first_sql(VALUES, 'sentence')} AS v FROM st WHERE regexp_matches(sentence, {_W(CONDITION_WORDS)})),
+    du AS (SELECT * FROM f WHERE regexp_matches(quote, {_W(storyboard.OBLIGATION)})), en AS (SELECT src_id FROM du GROUP BY 1 HAVING count(*) >= 3),
+    li AS (SELECT src_id, 0 AS part, page_id, pattern_no, start, ctx AS text, value FROM du UNION ALL SELECT src_id, 1, page_id, sentence_no, 0, substring(sentence, 1, 60), '' FROM st WHERE regexp_matches(sentence, {_W(storyboard.OBLIGATION)}) AND src_id NOT IN (SELECT src_id FROM en)),
+    pr AS (SELECT src_id, 0 AS part, page_id, sentence_no AS pattern_no, 0 AS start, {sql_trim('c', 52)} AS condition, {sql_trim('v', 28)} AS value, {sql_trim('sent', 160)} AS text FROM c0 WHERE length(c) > 0 AND length(v) > 0 UNION ALL SELECT src_id, 1, page_id, pattern_no, start, ctx, value, quote FROM f WHERE label IN ({_LABELS(storyboard.SHARE_LABELS)}) AND regexp_matches(quote, {_W(storyboard.PENALTY)})),
+    pd AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY src_id, page_id, condition, value ORDER BY part, pattern_no, start) = 1),
+    it AS ({_ranked_sql(f"(SELECT * FROM f WHERE label IN ({_LABELS(storyboard.TIMELINE_LABELS)}))", 'deadline_timeline', 'events', 'page_id, pattern_no, start', 'ctx', 'value')}
+    UNION ALL {_ranked_sql(f"(SELECT * FROM f WHERE label IN ({_LABELS(storyboard.NUMBER_LABELS)}))", 'key_number', 'items', 'page_id, pattern_no, start', 'ctx', 'value')}
+    UNION ALL {_ranked_sql('li', 'checklist', 'items', 'part, page_id, pattern_no, start', 'text', 'value')} UNION ALL {_ranked_sql('pd', 'penalty_table', 'rows', 'part, page_id, pattern_no, start', 'text', 'value', 'condition')}
+    UNION ALL {_ranked_sql(f"(SELECT *, {_RISK} AS sc FROM st WHERE regexp_matches(sentence, {_W(storyboard.RISK)}))", 'risk_warning', 'items', 'sc DESC, page_id, sentence_no', 'substring(sentence, 1, 140)')}
+    UNION ALL {_ranked_sql(f"(SELECT * FROM st WHERE regexp_matches(sentence, {_W(storyboard.PROHIBITED)}))", 'do_dont', 'dont', 'page_id, sentence_no', 'substring(sentence, 1, 60)')}
+    UNION ALL {_ranked_sql(f"(SELECT * FROM st WHERE NOT regexp_matches(sentence, {_W(storyboard.PROHIBITED)}) AND regexp_matches(sentence, {_W(storyboard.WANTED)}))", 'do_dont', 'do', 'page_id, sentence_no', 'substring(sentence, 1, 60)')})"""
+
+
+def _items(spark, d):
+    pages = table(spark, d, "pdf_pages")
+    rows = extract.condition_rows(pages, "src_id", "page_id", words=CONDITION_WORDS, conditions=CONDITIONS, values=VALUES)
+    return storyboard.scene_items(extract.facts(pages, "src_id", "page_id"), extract.sentences(pages, "src_id", "page_id"), rows, "src_id")
+
+
+@query(ITEMS_SQL + " SELECT * FROM it")
+def scene_items(spark, d):
+    return _items(spark, d)
+
+
+_LINES = "list_filter(list_transform(string_split(%s, chr(10)), lambda x: " + sql_strip("x") + "), lambda x: %s)"
+OUTLINE_SQL = f"""WITH oc AS (SELECT * FROM pdf_chunks QUALIFY row_number() OVER (PARTITION BY src_id, chunk_id ORDER BY chunk_key) = 1), on1 AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY chunk_key) AS rn, count(*) OVER (PARTITION BY src_id) AS n FROM oc),
+    ob AS (SELECT *, ((rn - 1) // ceil(n / least(4, n))::BIGINT + 1)::INTEGER AS chapter_no, substring(list_filter(list_transform(coalesce(headings, []), lambda h: {sql_strip('h')}), lambda h: length(h) > 0)[1], 1, 40) AS hd, substring(({_LINES % ("coalesce(text, '')", "length(x) BETWEEN 4 AND 60")})[1], 1, 40) AS ln,
+        ({_LINES % ("replace(coalesce(text, ''), '。', '。' || chr(10))", "length(x) >= 8")})[1:3] AS pts FROM on1),
+    oh AS (SELECT src_id, chapter_no, coalesce(arg_min(hd, rn) FILTER (WHERE hd IS NOT NULL), arg_min(ln, rn) FILTER (WHERE ln IS NOT NULL), '第 ' || chapter_no || ' 段重點') AS title, arg_min(start_page, rn) AS first_page, arg_max(end_page, rn) AS last_page FROM ob GROUP BY 1, 2),
+    op AS (SELECT src_id, chapter_no, rn, i, substring(pts[i], 1, 80) AS point FROM ob, unnest(range(1, len(pts) + 1)) u(i) QUALIFY row_number() OVER (PARTITION BY src_id, chapter_no ORDER BY rn, i) <= 3),
+    ol AS (SELECT oh.*, coalesce(ps, '') AS points, coalesce(np, 0) AS np FROM oh LEFT JOIN (SELECT src_id, chapter_no, string_agg(point, chr(10) ORDER BY rn, i) AS ps, count(*) AS np FROM op GROUP BY 1, 2) q USING (src_id, chapter_no))"""
+
+
+@query(OUTLINE_SQL + " SELECT src_id, chapter_no, title, first_page, last_page, points FROM ol")
+def outline(spark, d):
+    return storyboard.outline(table(spark, d, "pdf_chunks"), 6.0).withColumn("points", F.array_join("points", "\n"))
+
+
+KINDS = ["deadline_timeline", "penalty_table", "checklist", "risk_warning", "do_dont", "key_number"]
+
+
+@query(ITEMS_SQL + ", " + OUTLINE_SQL.removeprefix("WITH ") + f""", sb AS (SELECT DISTINCT src_id, 0 AS part, 0 AS chapter_no, 0 AS kind_no, 'cover' AS scene_kind, 0::BIGINT AS items FROM ol UNION ALL SELECT src_id, 1, chapter_no, 0, 'section_intro', np FROM ol
+    UNION ALL SELECT src_id, 2, 0, list_position([{_LABELS(KINDS)}], scene_kind)::INTEGER, scene_kind, count(*) FROM it GROUP BY src_id, scene_kind UNION ALL SELECT DISTINCT src_id, 3, 0, 0, 'recap_card', 0 FROM ol) SELECT src_id, part, chapter_no, kind_no, scene_kind, items::BIGINT AS items FROM sb""")
+def storyboard_scenes(spark, d):
+    return storyboard.storyboard(storyboard.outline(table(spark, d, "pdf_chunks"), 6.0), _items(spark, d), "src_id", KINDS)
+
+
+_TOPIC = f"SELECT src_id, page, row_number() OVER (PARTITION BY src_id ORDER BY page, salience_milli DESC, image_id) AS rank, substring(coalesce(nullif(caption, ''), visual_role), 1, 18) AS topic FROM (SELECT *, floor(score * 1000 + 0.5)::BIGINT AS salience_milli FROM u WHERE likely_useful)"
+
+
+@query(INVENTORY_SQL + f", tc AS ({_TOPIC}), tf AS (SELECT *, rank = min(rank) OVER (PARTITION BY src_id, topic) AS first FROM tc), tk AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY rank) AS place FROM tf WHERE rank <= 3 OR first) SELECT DISTINCT src_id, page FROM tk WHERE place <= 6")
+def topic_anchors(spark, d):
+    from pyspark.sql import Window
+
+    inv = figures.inventory(table(spark, d, "pdf_images"), table(spark, d, "pdf_pages")).filter("likely_useful")
+    rank = F.row_number().over(Window.partitionBy("src_id").orderBy("page", F.col("salience_milli").desc(), "image_id"))
+    topic = F.substring(F.coalesce(F.when(F.length("caption") > 0, F.col("caption")), F.col("visual_role")), 1, 18)
+    return storyboard.topic_anchors(inv.select("src_id", "page", rank.alias("rank"), topic.alias("topic")), 6)
+
+
+@query("WITH t AS (SELECT src_id, page_id, page_id AS seq, trim(list_extract(string_split(h, '·'), -1)) AS b FROM (SELECT src_id, page_id, headings[1] AS h FROM pdf_pages WHERE len(headings) > 0) WHERE length(trim(list_extract(string_split(h, '·'), -1))) > 0), g AS (SELECT src_id, b, min(seq) AS seq, arg_min(page_id, seq) AS page_id FROM t GROUP BY 1, 2) SELECT src_id, ordinal::INTEGER AS ordinal, substring(b, 1, 24) AS text, page_id FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY seq) AS ordinal FROM g) WHERE ordinal <= 5")
+def recap_items(spark, d):
+    p = table(spark, d, "pdf_pages").filter(F.size("headings") > 0)
+    scenes = p.select("src_id", "page_id", F.col("page_id").alias("seq"), F.get("headings", F.lit(0)).alias("title"), F.lit("section").alias("scene_kind"))
+    return storyboard.recap_items(scenes, "src_id", ["cover", "recap_card"])
+
+
+@query("SELECT src_id, page_id FROM (SELECT src_id, page_id, row_number() OVER (PARTITION BY src_id ORDER BY page_id) - 1 AS no FROM pdf_pages) WHERE no > 0 AND no % 8 = 0")
+def recap_places(spark, d):
+    return storyboard.every_kth(table(spark, d, "pdf_pages").select("src_id", "page_id"), "src_id", "page_id")
