@@ -39,7 +39,7 @@ PLACEHOLDER = re.compile(
     "|".join(
         (
             rf"\{{\{{\s*{_NAME}\s*\}}\}}", rf"[$#]\{{\s*{_NAME}\s*\}}", rf"\[\[\s*{_NAME}\s*\]\]", rf"<%=?\s*{_NAME}\s*%>", r"«[A-Za-z]{2,20}(?:_[A-Za-z]{1,20})*»", rf"@@{_NAME}@@",
-            rf"%\({_NAME}\)[sd]", r"%[A-Za-z][A-Za-z_]{2,30}%", r"__[A-Za-z][A-Za-z_]{2,30}?__", rf"<\$\s*{_NAME}>", r"(?<![\w$#{])\{[A-Za-z_][A-Za-z_ ]{1,30}\}(?!\})",
+            rf"%\({_NAME}\)[sd]", r"%[A-Za-z][A-Za-z_]{2,30}%", r"__[A-Za-z][A-Za-z_]{2,30}?__", rf"<\$\s*{_NAME}>", r"(?<![A-Za-z0-9_$#{])\{[A-Za-z_][A-Za-z_ ]{1,30}\}(?!\})",
             r"<(?:(?:your|the|a|an)\s+)?(?:name|title|date|amount|address|company|client|tenant|place|number|summary|contact|unit|project|insert|enter|fill)\b[^<>\n]{0,40}>",
             r"\[(?:[Yy]our|[Ii]nsert|[Ee]nter|[Ff]ill|[Aa]dd|TBD|TODO|TBC|XXX)\b[^\[\]\n]{0,40}\]", r"\[[A-Z]{2,20}(?: [A-Z]{2,20}){1,4}\]",
             r"\((?:[Ii]nsert|[Ee]nter|[Ff]ill in|[Aa]dd|TBD|TODO|TBC)\b[^()\n]{0,40}\)",
@@ -104,9 +104,9 @@ su texto aquí|(?:este es )?(?:un )?texto de (?:relleno|ejemplo|prueba|muestra).
 """
 # Wording of sentences that write about such things, and the quotation marks that hold a mentioned one.
 MENTION = re.compile(
-    r"「[^」]{2,40}」(?:的(?:訊息|比例|字樣|畫面|提示)|這類|一詞|字樣|という)|回應「|的比例由|訊息共出現|已完成檢討|主因是|已無此限制|步驟[一二三四五六七八九十\d]|為例|說明變數|這類字樣|排版規範"
+    r"「[^」]{2,40}」(?:的(?:訊息|比例|字樣|畫面|提示)|這類|一詞|字樣)|回應「|的比例由|訊息共出現|已完成檢討|主因是|已無此限制|步驟[一二三四五六七八九十\d]|為例|說明變數|這類字樣|排版規範"
     r"|was logged|stands for the|were logged|was seen by|share of requests|during the drill|cause is known|traced it to|before step|as the manual explains|the new one|does not\.|bans dummy|such as [“\"{$\[]|as in \[|is swapped for|reads \$\{|before it opens|editor's remarks|editor’s remarks"
-    r"|wie (?:z\. B\. )?[„\"{$]|zum Beispiel [„{$]|tel(?:le)?s? que [«{$]|par exemple [«{$]|como [«{$]|por ejemplo,? [«{$]|という(?:表示|文言|メッセージ|エラー)|ข้อความ“|जैसे “|नामक",
+    r"|wie (?:z\. B\. )?[„\"{$]|zum Beispiel [„{$]|tel(?:le)?s? que [«{$]|par exemple [«{$]|como [«{$]|por ejemplo,? [«{$]|という(?:表示|文言|メッセージ|エラー|文字列|記号)|ข้อความ“|जैसे “|नामक",
     re.I,
 )
 
@@ -185,20 +185,27 @@ def _heading(line: str) -> bool:
 _SORRY = re.compile(r"(?:(?:很|非常)?抱歉|糟糕|oops|sorry|we are sorry|unfortunately|entschuldigung|désolé|lo sentimos|申し訳ありません)[\W_]{1,3}", re.I)
 
 
+def holes_of(line: str) -> int:
+    """Unfilled placeholders of a line, without those of sentences that write about placeholders."""
+    if not PLACEHOLDER.search(line):
+        return 0
+    return sum(len(PLACEHOLDER.findall(s)) for s in _SENTENCES.split(line) if not MENTION.search(s))
+
+
 def evidence_of(line: str) -> tuple[int, int]:
     """(characters of evidence, characters in all) of a line, sentence by sentence; mentions are no evidence.
 
     A line that is evidence by two fifths is so as a whole: what is left of it are its polite closing words.
     """
     line = _BLANKS.sub(" ", line)
-    if MENTION.search(line):
-        return 0, len(line)
     found = total = 0
     for sentence in _SENTENCES.split(line):
         s = sentence.strip()
         if not s:
             continue
         total += len(s)
+        if MENTION.search(s):
+            continue
         if _signs(s) & 1 and ((m := _SORRY.match(s)) and (m.end() == len(s) or _known(s[m.end() :])) or _known(s)) or _empty_words(s):
             found += len(s)
     if len(set(line)) <= 12:
@@ -244,7 +251,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for no, (x, m) in enumerate(zip(lines, marks, strict=True)):
                 furniture = _FURNITURE.fullmatch(x) is not None
                 bits = 0 if furniture else _signs(x)
-                holes = len(PLACEHOLDER.findall(x)) if bits & 2 and not MENTION.search(x) else 0
+                holes = holes_of(x) if bits & 2 else 0
                 proof, chars = (0, 0) if furniture else evidence_of(x) if bits & 1 or _suspect(x) else (0, len(x))
                 any_ |= bool(holes or proof)
                 rows.append((1, host, m, 0, doc_id, no, holes, proof, chars, no == 0 and len(lines) > 1 and not proof and _heading(x)))
