@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import short_context, strip
-from leafmill.operators.sequence import numbered
+from leafmill.operators.sequence import numbered, page_islands
 
 # Labels and words by which items are put in scenes.
 TIMELINE_LABELS, NUMBER_LABELS, SHARE_LABELS = ["期限", "Deadline", "日期"], ["百分比", "金額", "數量"], ["百分比", "金額"]
@@ -156,3 +156,20 @@ def every_kth(rows: DataFrame, group: str, order: str, minutes: float = 8.0, sec
     k = max(1, round(minutes * 60.0 / seconds))
     placed = numbered(rows, group, [order], "_no").withColumn("_no", F.col("_no") - 1)
     return placed.filter((F.col("_no") > 0) & (F.col("_no") % k == 0)).drop("_no")
+
+
+# Words that set two pictures against each other.
+CONTRAST = "比較 對比 before after 淺 深 高 低 冷 暖".split()
+
+
+def comparison_pairs(candidates: DataFrame, group: str, words: list[str] = CONTRAST) -> DataFrame:
+    """group, left_id, right_id: neighbouring candidates, two pages apart at most, whose texts name a contrast; each is used once.
+
+    The walk "pair with the next and go on behind it" pairs every second place of a run of pairable neighbours; runs are found by
+    anti-joins. candidates: group, idx (from 1, without gaps), id, page, blob.
+    """
+    right = candidates.select(group, (F.col("idx") - 1).alias("idx"), F.col("id").alias("right_id"), F.col("page").alias("_rp"), F.col("blob").alias("_rb"))
+    near = candidates.join(right, [group, "idx"]).filter((F.col("_rp") - F.col("page") <= 2) & _any(F.concat_ws(" ", "blob", "_rb"), words))
+    runs = page_islands(near.select(group, "idx"), group, "idx")
+    starts = runs.select(group, F.explode(F.sequence("first", "last", F.lit(2).cast("long"))).alias("idx"))
+    return near.join(starts, [group, "idx"]).select(group, F.col("id").alias("left_id"), "right_id")

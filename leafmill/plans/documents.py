@@ -555,3 +555,15 @@ def recap_items(spark, d):
 @query("SELECT src_id, page_id FROM (SELECT src_id, page_id, row_number() OVER (PARTITION BY src_id ORDER BY page_id) - 1 AS no FROM pdf_pages) WHERE no > 0 AND no % 8 = 0")
 def recap_places(spark, d):
     return storyboard.every_kth(table(spark, d, "pdf_pages").select("src_id", "page_id"), "src_id", "page_id")
+
+
+@query(f"""WITH i AS (SELECT src_id, image_id AS id, page, coalesce(caption_hint, '') AS blob, row_number() OVER (PARTITION BY src_id ORDER BY page, image_id) AS idx FROM pdf_images),
+    n AS (SELECT a.src_id, a.idx, a.id AS left_id, b.id AS right_id FROM i a JOIN i b ON b.src_id = a.src_id AND b.idx = a.idx + 1 WHERE b.page - a.page <= 2 AND regexp_matches(a.blob || ' ' || b.blob, {_W([*storyboard.CONTRAST, '與', 'and'])})),
+    r AS (SELECT *, idx - row_number() OVER (PARTITION BY src_id ORDER BY idx) AS run FROM n), p AS (SELECT *, row_number() OVER (PARTITION BY src_id, run ORDER BY idx) AS k FROM r) SELECT src_id, left_id, right_id FROM p WHERE k % 2 = 1""")
+def comparison_pairs(spark, d):
+    """Neighbouring images whose captions name two things."""
+    images = table(spark, d, "pdf_images").select("src_id", F.col("image_id").alias("id"), "page", F.coalesce("caption_hint", F.lit("")).alias("blob"))
+    from pyspark.sql import Window
+
+    placed = images.withColumn("idx", F.row_number().over(Window.partitionBy("src_id").orderBy("page", "id")).cast("long"))
+    return storyboard.comparison_pairs(placed, "src_id", [*storyboard.CONTRAST, "與", "and"])
