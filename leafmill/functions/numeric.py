@@ -39,3 +39,32 @@ def expanded_box(box: Column, width: Column, height: Column, pad: float) -> Colu
         F.greatest(F.lit(0.0), box["x0"] - pad).alias("x0"), F.greatest(F.lit(0.0), box["y0"] - pad).alias("y0"),
         F.least(width, box["x1"] + pad).alias("x1"), F.least(height, box["y1"] + pad * 1.4).alias("y1"),
     )
+
+
+# Seconds aimed at, least and most for each depth; and the minutes an automatic length may take.
+DEPTHS = {"brief": (120.0, 90.0, 150.0), "standard": (300.0, 240.0, 360.0), "deep": (600.0, 480.0, 720.0)}
+AUTO_BOUNDS = {"brief": (2.0, 3.0), "standard": (2.5, 6.0), "deep": (5.0, 10.0)}
+# Minutes of an automatic length by kind: base, per page, and characters per minute.
+AUTO_MINUTES = {"contract": (1.4, 0.75, 3600.0), "policy": (1.4, 0.75, 3600.0), "form": (1.4, 0.75, 3600.0), "paper": (2.0, 0.55, 5000.0), "manual": (1.8, 0.50, 5200.0), "report": (2.0, 0.60, 4600.0), "slides": (1.5, 0.28, 6500.0)}
+AUTO_OTHER = (1.8, 0.45, 5600.0)
+
+
+def _entry(key: Column, table: dict, other: tuple, place: int) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, v[place]))), key), F.lit(other[place]))
+
+
+def length_window(depth: Column, minutes: Column) -> Column:
+    """struct<target,least,most> in seconds: a positive number of minutes gives a tenth to either side, else the depth decides."""
+    wanted = F.try_to_number(minutes, F.lit("999999.99")).cast("double") * 60.0
+    known = [_entry(F.lower(F.coalesce(depth, F.lit("standard"))), DEPTHS, DEPTHS["standard"], i) for i in range(3)]
+    made = [F.when(wanted > 0, wanted * share).otherwise(k) for share, k in zip((1.0, 0.9, 1.1), known, strict=True)]
+    return F.struct(made[0].alias("target"), made[1].alias("least"), made[2].alias("most"))
+
+
+def auto_minutes(kind: Column, pages: Column, chars: Column, depth: Column) -> Column:
+    """A length from the size of a document of a kind, within the bounds of the depth, to the half minute."""
+    k, d = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(depth, F.lit("standard")))
+    base, per_page, pace = (_entry(k, AUTO_MINUTES, AUTO_OTHER, i) for i in range(3))
+    raw = base + F.greatest(F.lit(1), pages) * per_page + F.greatest(F.lit(0), chars) / pace
+    low, high = (_entry(d, AUTO_BOUNDS, AUTO_BOUNDS["standard"], i) for i in range(2))
+    return F.rint(F.greatest(low, F.least(high, raw)) * 2) / 2

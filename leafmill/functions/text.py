@@ -285,3 +285,36 @@ def count_words(text: Column, words: list[str]) -> Column:
     # Bytes are known without a walk through the text, characters are not.
     counted = [((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(w)))) / len(w.encode())).cast("int") for w in words]
     return sum(counted[1:], counted[0]) if counted else F.lit(0)
+
+
+def near_any(text: Column, anchor: Column, words: list[str], around: int = 40) -> Column:
+    """Whether one of the words stands within so many characters of the anchor's first occurrence; false without one."""
+    at = F.position(anchor, text)
+    begin = F.greatest(at - 1 - around, F.lit(0))
+    window = F.substring(text, begin + 1, at - 1 - begin + F.length(anchor) + around)
+    return F.coalesce((F.length(anchor) > 0) & (at > 0) & window.rlike("|".join(words)), F.lit(False))
+
+
+def joined_text(*parts: Column) -> Column:
+    """Texts and lists of texts as lines, without empty ones: array columns and string columns, in order."""
+    return F.array_join(F.filter(F.concat(*(F.coalesce(p, F.array().cast("array<string>")) for p in parts)), lambda x: F.length(x) > 0), "\n")
+
+
+def first_named(text: Column, table: list[tuple[str, list[str]]], other: str) -> Column:
+    """The first name whose words a text holds, in any letter case."""
+    low, out = F.lower(F.coalesce(text, F.lit(""))), None
+    for name, words in table:
+        hit = low.rlike("|".join(w.lower() for w in words))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(other) if out is not None else F.lit(other)
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """Lines of at most `width` characters, long words broken."""
+    import textwrap
+
+    @F.pandas_udf("array<string>")
+    def wrap(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else textwrap.wrap(x, width, break_long_words=True))
+
+    return wrap(text)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import WS, first_match, short_context, split_sentences, surrounding_quote, trim_quote
+from leafmill.functions.text import WS, first_match, near_any, short_context, split_sentences, surrounding_quote, trim_quote
 
 
 @dataclass(frozen=True)
@@ -73,8 +73,11 @@ def _whole_group(expression: str) -> bool:
     return False
 
 
-def facts(rows: DataFrame, *keys: str, text: str = "text", patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
-    """keys, pattern_no, kind, label, importance, start, value, quote for every fact of every row, in the order of the patterns."""
+def facts(rows: DataFrame, *keys: str, text: str = "text", patterns: tuple[Pattern, ...] = PATTERNS, near: list[str] | None = None) -> DataFrame:
+    """keys, pattern_no, kind, label, importance, start, value, quote for every fact of every row, in the order of the patterns.
+
+    With `near`, also whether one of these words stands around the value's first place in the text.
+    """
     t = F.col(text)
     every = F.flatten(F.array(*(_spans(t, k, p) for k, p in enumerate(patterns))))
     same = lambda x, y: (x["start"] == y["start"]) & (F.length(x["match"]) == F.length(y["match"]))
@@ -82,10 +85,13 @@ def facts(rows: DataFrame, *keys: str, text: str = "text", patterns: tuple[Patte
     found = rows.filter(t.isNotNull()).select(*keys, t.alias("_text"), every.alias("_spans"))
     # Values and quotations are made inside the row, so the filter on them is not evaluated a second time.
     told = F.transform(fresh, lambda s: F.struct(s["no"].alias("no"), s["start"].alias("start"), trim_quote(s["value"], 40).alias("value"), surrounding_quote(F.col("_text"), s["start"], s["match"]).alias("quote")))
+    if near:
+        told = F.transform(told, lambda s: s.withField("near", near_any(F.col("_text"), s["value"], near)))
     found = found.select(*keys, F.explode(F.filter(told, lambda s: (F.length(s["value"]) > 0) & (F.length(s["quote"]) > 0))).alias("s"))
     about = F.element_at(F.array(*(F.struct(F.lit(p.kind).alias("kind"), F.lit(p.label).alias("label"), F.lit(p.importance).alias("importance")) for p in patterns)), F.col("s.no") + 1)
-    out = found.select(*keys, F.col("s.no").alias("pattern_no"), about.alias("p"), F.col("s.start").alias("start"), F.col("s.value").alias("value"), F.col("s.quote").alias("quote"))
-    return out.select(*keys, "pattern_no", "p.kind", "p.label", "p.importance", "start", "value", "quote")
+    out = found.select(*keys, F.col("s.no").alias("pattern_no"), about.alias("p"), F.col("s.start").alias("start"), F.col("s.value").alias("value"), F.col("s.quote").alias("quote"), *([F.col("s.near").alias("near")] if near else []))
+    out = out.select(*keys, "pattern_no", "p.kind", "p.label", "p.importance", "start", "value", "quote", *(["near"] if near else []))
+    return out
 
 
 def sentences(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.numeric import area_ratio, clamp
-from leafmill.functions.text import WS_IN, strip, word_tokens
+from leafmill.functions.text import strip, word_tokens
 from leafmill.operators.classify import DECORATIVE_ROLES, DECORATIVE_TERMS, ROLE_TERMS, figure_role, holds_any
 
 
@@ -157,4 +157,8 @@ def source_path(crop: Column, image: Column, page_render: Column) -> Column:
     return F.coalesce(*(F.when(F.length(c) > 0, c) for c in (crop, image, page_render)))
 
 
-BLANKS = f"[{WS_IN}]"
+def source_quote(text: Column, heading: Column, caption: Column, most: int = 160) -> Column:
+    """What a figure is quoted by: its caption or heading where the page holds it, else the first line of 8 to 160 characters."""
+    held = [F.when((F.length(c) > 0) & F.contains(text, c), c) for c in (caption, heading)]
+    line = F.try_element_at(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.length(x).between(8, most)), F.lit(1))
+    return F.substring(F.coalesce(*held, line), 1, most)

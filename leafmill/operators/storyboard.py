@@ -36,7 +36,7 @@ def risk_score(sentence: Column) -> Column:
 def scene_items(facts: DataFrame, sentences: DataFrame, conditions: DataFrame, group: str, most: int = 6) -> DataFrame:
     """group, scene_kind, slot, ordinal, page_id, text, value, condition: the first items of each kind of scene.
 
-    facts: group, page_id, pattern_no, start, label, value, quote; sentences: group, page_id, sentence_no, sentence; conditions: group,
+    facts: group, page_id, pattern_no, start, label, value, quote, near (PENALTY words around it); sentences: group, page_id, sentence_no, sentence; conditions: group,
     page_id, sentence_no, condition, value, sentence. A rank is limited within each task before the shuffle.
     """
     none = F.lit("")
@@ -58,7 +58,7 @@ def scene_items(facts: DataFrame, sentences: DataFrame, conditions: DataFrame, g
     told = sentences.filter(_any(F.col("sentence"), OBLIGATION)).join(enough, group, "left_anti")
     listed = listed.unionByName(told.select(group, F.lit(1).alias("part"), "page_id", F.col("sentence_no").cast("int").alias("pattern_no"), F.lit(0).alias("start"), short.alias("text"), none.alias("value")))
     rows = conditions.select(group, F.lit(0).alias("part"), "page_id", F.col("sentence_no").cast("int").alias("pattern_no"), F.lit(0).alias("start"), "condition", "value", F.col("sentence").alias("text"))
-    shares = facts.filter(label.isin(SHARE_LABELS) & _any(F.col("quote"), PENALTY))
+    shares = facts.filter(label.isin(SHARE_LABELS) & (_any(F.col("quote"), PENALTY) | F.col("near")))
     rows = rows.unionByName(shares.select(group, F.lit(1).alias("part"), *place, context.alias("condition"), "value", F.col("quote").alias("text")))
     first = F.min_by(F.struct("part", "pattern_no", "start", "text"), F.struct("part", "pattern_no", "start"))
     rows = rows.groupBy(group, "page_id", "condition", "value").agg(first.alias("f")).select(group, "page_id", "condition", "value", "f.*")

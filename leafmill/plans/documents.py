@@ -484,11 +484,11 @@ def _ranked_sql(rows: str, kind: str, slot: str, order: str, text_: str, value:
 
 _LABELS = lambda names: ", ".join(f"'{n}'" for n in names)
 _NEAR = "CASE WHEN strpos(quote, value) > 0 THEN substring(quote, greatest(strpos(quote, value) - 21, 0) + 1, strpos(quote, value) - 1 - greatest(strpos(quote, value) - 21, 0) + length(value) + 30) ELSE quote END"
-ITEMS_SQL = f"""WITH f0 AS ({_fact_sql("page_id, pattern_no, label, start, value, quote")}), f1 AS (SELECT p.src_id, f0.*, {_NEAR} AS near FROM f0 JOIN pdf_pages p ON p.page_id = f0.page_id), f AS (SELECT *, {sql_trim('near', 60)} AS ctx FROM f1), st AS ({_SENT}),
+ITEMS_SQL = f"""WITH f0 AS ({_fact_sql("page_id, pattern_no, label, start, value, quote")}), f1 AS (SELECT p.src_id, f0.*, {_NEAR} AS near, strpos(p.text, value) > 0 AND regexp_matches(substring(p.text, greatest(strpos(p.text, value) - 41, 0) + 1, strpos(p.text, value) - 1 - greatest(strpos(p.text, value) - 41, 0) + length(value) + 40), {_W(storyboard.PENALTY)}) AS around_it FROM f0 JOIN pdf_pages p ON p.page_id = f0.page_id), f AS (SELECT *, {sql_trim('near', 60)} AS ctx FROM f1), st AS ({_SENT}),
     c0 AS (SELECT src_id, page_id, sentence_no, sentence AS sent, {_first_sql(CONDITIONS, 'sentence')} AS c, {_first_sql(VALUES, 'sentence')} AS v FROM st WHERE regexp_matches(sentence, {_W(CONDITION_WORDS)})),
     du AS (SELECT * FROM f WHERE regexp_matches(quote, {_W(storyboard.OBLIGATION)})), en AS (SELECT src_id FROM du GROUP BY 1 HAVING count(*) >= 3),
     li AS (SELECT src_id, 0 AS part, page_id, pattern_no, start, ctx AS text, value FROM du UNION ALL SELECT src_id, 1, page_id, sentence_no, 0, substring(sentence, 1, 60), '' FROM st WHERE regexp_matches(sentence, {_W(storyboard.OBLIGATION)}) AND src_id NOT IN (SELECT src_id FROM en)),
-    pr AS (SELECT src_id, 0 AS part, page_id, sentence_no AS pattern_no, 0 AS start, {sql_trim('c', 52)} AS condition, {sql_trim('v', 28)} AS value, {sql_trim('sent', 160)} AS text FROM c0 WHERE length(c) > 0 AND length(v) > 0 UNION ALL SELECT src_id, 1, page_id, pattern_no, start, ctx, value, quote FROM f WHERE label IN ({_LABELS(storyboard.SHARE_LABELS)}) AND regexp_matches(quote, {_W(storyboard.PENALTY)})),
+    pr AS (SELECT src_id, 0 AS part, page_id, sentence_no AS pattern_no, 0 AS start, {sql_trim('c', 52)} AS condition, {sql_trim('v', 28)} AS value, {sql_trim('sent', 160)} AS text FROM c0 WHERE length(c) > 0 AND length(v) > 0 UNION ALL SELECT src_id, 1, page_id, pattern_no, start, ctx, value, quote FROM f WHERE label IN ({_LABELS(storyboard.SHARE_LABELS)}) AND (regexp_matches(quote, {_W(storyboard.PENALTY)}) OR around_it)),
     pd AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY src_id, page_id, condition, value ORDER BY part, pattern_no, start) = 1),
     it AS ({_ranked_sql(f"(SELECT * FROM f WHERE label IN ({_LABELS(storyboard.TIMELINE_LABELS)}))", 'deadline_timeline', 'events', 'page_id, pattern_no, start', 'ctx', 'value')}
     UNION ALL {_ranked_sql(f"(SELECT * FROM f WHERE label IN ({_LABELS(storyboard.NUMBER_LABELS)}))", 'key_number', 'items', 'page_id, pattern_no, start', 'ctx', 'value')}
@@ -501,7 +501,7 @@ ITEMS_SQL = f"""WITH f0 AS ({_fact_sql("page_id, pattern_no, label, start, value
 def _items(spark, d):
     pages = table(spark, d, "pdf_pages")
     rows = extract.condition_rows(pages, "src_id", "page_id", words=CONDITION_WORDS, conditions=CONDITIONS, values=VALUES)
-    return storyboard.scene_items(extract.facts(pages, "src_id", "page_id"), extract.sentences(pages, "src_id", "page_id"), rows, "src_id")
+    return storyboard.scene_items(extract.facts(pages, "src_id", "page_id", near=storyboard.PENALTY), extract.sentences(pages, "src_id", "page_id"), rows, "src_id")
 
 
 @query(ITEMS_SQL + " SELECT * FROM it")

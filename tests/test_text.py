@@ -154,3 +154,19 @@ def test_target_minutes_and_boxes(spark):
     box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(50.0).alias("x1"), F.lit(50.0).alias("y1"))
     row = spark.range(1).select(numeric.area_ratio(box, F.lit(100.0), F.lit(100.0)), numeric.area_ratio(box, F.lit(0.0), F.lit(1.0)), numeric.expanded_box(box, F.lit(60.0), F.lit(60.0), 20.0)["y1"]).first()
     assert tuple(row) == (0.25, 0.0, 60.0)
+
+
+def test_lengths_by_depth_and_kind(spark):
+    df = spark.createDataFrame([("deep", None), (None, "5"), ("odd", "auto"), ("brief", "-1")], "d string, m string")
+    got = [tuple(r[0]) for r in df.select(numeric.length_window(F.col("d"), F.col("m"))).collect()]
+    assert got == [(600.0, 480.0, 720.0), (300.0, 270.0, pytest.approx(330.0)), (300.0, 240.0, 360.0), (120.0, 90.0, 150.0)]
+    df = spark.createDataFrame([("contract", 3, 1800, "standard"), (None, 0, 0, None), ("slides", 100, 0, "brief")], "k string, p int, c long, d string")
+    assert [r[0] for r in df.select(numeric.auto_minutes(*map(F.col, "kpcd"))).collect()] == [4.0, 2.5, 3.0]
+
+
+def test_small_text_helpers(spark):
+    df = spark.createDataFrame([("前文違約金為30%以內", "30%"), ("x" * 60 + "30%" + "y" * 60 + "違約", "30%"), (None, "30%"), ("30%", "")], "t string, a string")
+    assert [r[0] for r in df.select(text.near_any(F.col("t"), F.col("a"), ["違約"])).collect()] == [True, False, False, False]
+    assert spark.range(1).select(text.joined_text(F.array(F.lit("a"), F.lit("")), F.lit(None).cast("array<string>"), F.array(F.lit("b")))).first()[0] == "a\nb"
+    assert column(spark, ["Before and AFTER", "x", None], lambda c: text.first_named(c, [("pair", ["after"]), ("other", ["x"])], "none")) == ["pair", "other", "none"]
+    assert column(spark, ["abcdefgh ij", None], lambda c: text.wrapped(c, 4)) == [["abcd", "efgh", "ij"], None]
