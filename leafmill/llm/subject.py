@@ -28,7 +28,7 @@ from leafmill.llm.lookalike import look
 from leafmill.session import materialize
 
 #: Hashed features of one language; the model is a table of len(LANGUAGES) * FEATURES rows and a column per area.
-FEATURES = 1 << 15
+FEATURES = 1 << 14
 #: Bound of the labelled sources that the classifier is fitted on; beyond it those with the smallest hash are taken.
 LABELLED_SOURCES = 20_000
 SMOOTHING, ITERATIONS, LABEL_TRUST, CONFIDENT = 0.05, 3, 0.9, 0.75
@@ -99,13 +99,14 @@ class Model:
     """Complement weights, features by areas."""
 
     def __init__(self, counts: np.ndarray):
-        blocks = counts.reshape(len(LANGUAGES), FEATURES, -1)
-        all_areas = blocks.sum(axis=2, keepdims=True)
-        complement = SMOOTHING + all_areas - blocks
-        weights = np.log(complement) - np.log(complement.sum(axis=1, keepdims=True))
-        # Features that say the same about all areas cancel out; those never seen say nothing.
-        weights = np.where(all_areas > 0, weights - weights.mean(axis=2, keepdims=True), 0.0)
-        self.weights = (-weights).reshape(counts.shape).astype(np.float32)
+        self.weights = np.zeros(counts.shape, dtype=np.float32)
+        for k in range(len(LANGUAGES)):  # language by language, so that the driver holds one block at a time
+            block = counts[k * FEATURES : (k + 1) * FEATURES].astype(np.float64)
+            all_areas = block.sum(axis=1, keepdims=True)
+            complement = SMOOTHING + all_areas - block
+            weights = np.log(complement) - np.log(complement.sum(axis=0, keepdims=True))
+            # Features that say the same about all areas cancel out; those never seen say nothing.
+            self.weights[k * FEATURES : (k + 1) * FEATURES] = np.where(all_areas > 0, weights.mean(axis=1, keepdims=True) - weights, 0.0)
 
     def posteriors(self, ids: np.ndarray, begins: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
         score = np.add.reduceat(self.weights[ids], begins, axis=0).astype(np.float64)
@@ -143,12 +144,12 @@ def _expected(rows: DataFrame, labels: dict[int, list[int]], areas: int, model:
             for c in range(areas):
                 total[:, c] += np.bincount(ids, weights=p[of, c], minlength=size)
         at, area = np.nonzero(total)
-        yield pd.DataFrame({"cell": at * areas + area, "n": total[at, area]})
+        yield pd.DataFrame({"cell": (at * areas + area).astype(np.int32), "n": total[at, area]})
 
-    summed = rows.mapInPandas(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(size * areas)
+    summed = rows.mapInPandas(run, "cell int, n double").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toPandas()
+    counts = np.zeros(size * areas, dtype=np.float32)
     counts[summed["cell"].to_numpy()] = summed["n"].to_numpy()
-    shared.unpersist()
+    shared.destroy()
     return counts.reshape(size, areas)
 
 
