@@ -133,7 +133,7 @@ def identical_pairs(pages: DataFrame) -> DataFrame:
     Blocking by fold_key, the exact check by look_key. Only keys with several variants go on, and each pair of variants is
     joined by an equi-join on the variant, so rows of one text are never compared with each other.
     """
-    rows = pages.filter(F.length(F.trim("text")) > 0).select("page_id", "text", "headings")
+    rows = pages.filter((F.length(F.trim("text")) > 0) & F.col("page_id").isNotNull()).select("page_id", "text", "headings")
     keys = rows.mapInPandas(_keys, "page_id long, fold_key binary, look_key binary, raw_key binary")
     from leafmill.session import materialize
 

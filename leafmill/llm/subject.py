@@ -202,7 +202,7 @@ def subject_profiles(sources: DataFrame, pages: DataFrame, chunks: DataFrame, la
     """src_id, subject, share, posterior for every source with text and every area."""
     names = [r["subject"] for r in areas.select("subject").distinct().orderBy("subject").collect()]  # a fixed table of a few rows
     ids = sources.select("src_id").distinct()
-    texts = pages.filter(F.length(F.trim("text")) > 0).select("src_id", "text")
+    texts = pages.filter((F.length(F.trim("text")) > 0) & F.col("src_id").isNotNull()).select("src_id", "text")
     # Chunks repeat the text of pages; they speak where a source has no page.
     alone = ids.join(texts.select("src_id").distinct(), "src_id", "left_anti")
     texts = texts.unionByName(chunks.filter(F.length("text") > 0).select("src_id", "text").join(alone, "src_id", "left_semi"))
