@@ -18,7 +18,6 @@ from functools import cache
 from itertools import chain
 from pathlib import Path
 
-import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -62,6 +61,8 @@ class WordEncoder:
     """Encodes words with one vocabulary; holds the merge table in a DuckDB connection of its own."""
 
     def __init__(self, folder: str = TOKENIZERS, name: str = VOCABULARY):
+        import duckdb  # only where words are encoded, not on the driver
+
         model = json.loads(Path(folder, name).read_text(encoding="utf-8"))["model"]
         vocab, shown = model["vocab"], _shown_bytes()
         byte_of = {c: b for b, c in shown.items()}
