@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from re import _parser
 
 import ahocorasick
 import pandas as pd
@@ -56,11 +57,6 @@ PLACEHOLDER = re.compile(
         )
     )
 )
-#: Without one of these characters, or one of these stems after a bracket, a text holds no placeholder.
-_OPENS = re.compile(r"[{<%@«\[【［〔〈○〇◯□]|XX|__")
-_PROMPTS = "insert enter fill tbd todo tbc add einfügen eintragen ergänzen einsetzen ausfüllen insérer saisir indiquer remplir compléter insertar inserte introducir introduzca rellenar indicar escriba completar 請 请 此處 此处 待 填 輸入 输入 公司名 客戶 客户 姓名 日期 金額 金额 標題 标题 地點 專案 單位名 ใส่ กรอก ระบุ เติม ชื่อ วันที่ จำนวนเงิน หัวข้อ สถานที่".split()
-_PROMPT_ENDS = "を入力 を記入 を挿入 記入してください डालें भरें लिखें दर्ज einfügen eintragen ergänzen einsetzen ausfüllen".split()
-
 # Wording of error pages in the corpus's languages, matched at the start of a sentence or as the whole of it.
 ERRORS = r"""
 (?:http\s*)?(?:error\s*)?[45]\d\d\s*[:|–—-]?\s*(?:not found|bad gateway|gateway timeout|forbidden|unauthorized|internal server error|service unavailable|request timeout|too many requests|bad request|gone|內部伺服器錯誤|找不到|禁止|服務|閘道)
@@ -116,25 +112,97 @@ def _compiled(lines: str) -> re.Pattern[str]:
 
 
 _EVIDENCE = tuple((kind, _compiled(x)) for kind, x in (("script", SCRIPTS), ("error", ERRORS), ("filler", FILLER)))
-# Stems without one of which no sentence matches the evidence wording; _ stands for a space.
-STEMS = """
-返回首頁 服務台 要找的 replace_this your_own_words took_too_long ran_into failed_to does_not_exist interrupted not_have_access unfortunately
-script error erro fehler erreur sorry oops cannot_be could_not no_longer expired denied permission not_found unavailable timeout timed_out traceback exception help_desk try_again reload
-verweigert nicht_gefunden nicht_erreichbar nicht_verfügbar zeitüber abgelaufen skripte introuvable refusé interdit indisponible expiré réessay no_encontrad denegado agotado caducado
-inténtelo no_responde 抱歉 錯誤 伺服器 無法 找不到 要求的 權限 連線 失效 載入 稍後 腳本 指令碼 占位 佔位 示範 範例 測試段落 預留 假文 這裡是內文 標題文字 取代本段 僅供排版 輸入您 dummy placeholder sample_text sample_wording example_paragraph filler
-content_here text_here goes_here lorem dolor beispieltext blindtext platzhalter mustertext ihr_text texte texto 見つかりません エラー 応答 アクセス タイムアウト 期限 表示できません 開けません スクリプト ここに ダミー この文章は サンプル ไม่พบ
-ข้อผิดพลาด ปฏิเสธ สิทธิ์ หมด ลองใหม่ สคริปต์ ข้อความ ที่นี่ नहीं_मिल त्रुटि सर्वर अस्वीकृत अनुमति वर्जित समाप्त स्क्रिप्ट नमूना उदाहरण डमी यहाँ http status
-""".split()
+
+_SORRY = re.compile(r"(?:(?:很|非常)?抱歉|糟糕|oops|sorry|we are sorry|unfortunately|entschuldigung|désolé|lo sentimos|申し訳ありません)[\W_]{1,3}", re.I)
+
+#: Bounds of the prefilter's search for literals: strings that one stretch of a pattern may stand for, and characters of a class.
+_STRINGS, _CLASS = 300, 16
+
+
+def _exact(node: tuple) -> set[str] | None:
+    """All strings that a node of a parsed pattern matches, or None if they are not few."""
+    op, value = str(node[0]), node[1]
+    if op == "LITERAL":
+        return {chr(value)}
+    if op in ("AT", "ASSERT", "ASSERT_NOT"):
+        return {""}
+    if op == "IN":
+        chars: set[str] = set()
+        for kind, x in value:
+            if str(kind) == "LITERAL":
+                chars.add(chr(x))
+            elif str(kind) == "RANGE" and x[1] - x[0] < _CLASS:
+                chars |= set(map(chr, range(x[0], x[1] + 1)))
+            else:
+                return None
+        return chars if len(chars) <= _CLASS else None
+    if op == "SUBPATTERN":
+        return _product(value[-1])
+    if op == "BRANCH":
+        parts = [_product(x) for x in value[1]]
+        return None if None in parts or sum(map(len, parts)) > _STRINGS else set().union(*parts)
+    if op == "MAX_REPEAT" and value[1] <= 2:
+        one = _product(value[2])
+        counts = [_product([x for x in value[2]] * n) for n in range(value[0], value[1] + 1)] if one is not None else [None]
+        return None if None in counts else set().union(*counts)
+    return None
+
+
+def _product(nodes) -> set[str] | None:
+    made = {""}
+    for node in nodes:
+        part = _exact(node)
+        if part is None or len(made) * len(part) > _STRINGS:
+            return None
+        made = {a + b for a in made for b in part}
+    return made
+
+
+def _worth(literals: set[str]) -> tuple:
+    """How well literals tell texts apart: those that all hold a sign (a parenthesis only before or after a word) first, then by the shortest."""
+    signs = all(re.search(r"[^\w\s.,:'’\"()（）-]|[(（]\w|\w[)）]", x) for x in literals)
+    return signs, min(len(x.encode()) for x in literals), -len(literals)
+
+
+def _required(nodes) -> set[str] | None:
+    """Literals of which every match of the parsed pattern holds at least one; None if there are no such literals."""
+    nodes, found = list(nodes), []
+    for a in range(len(nodes)):
+        for z in range(a + 1, len(nodes) + 1):
+            made = _product(nodes[a:z])
+            if made is None:
+                break
+            found.append(made)
+        op, value = str(nodes[a][0]), nodes[a][1]
+        if op == "SUBPATTERN":
+            found.append(_required(value[-1]))
+        elif op == "BRANCH":
+            parts = [_required(x) for x in value[1]]
+            found.append(None if None in parts else set().union(*parts))
+        elif op == "MAX_REPEAT" and value[0]:
+            found.append(_product([x for x in value[2]] * value[0]) or _required(value[2]))
+    return max((x for x in found if x and "" not in x), key=_worth, default=None)
+
+
+def _folded(text: str) -> str:
+    """Lower case as patterns that ignore case compare it."""
+    return text.replace("İ", "i").lower().replace("ı", "i").replace("ſ", "s")
+
+
+def _literals(pattern: re.Pattern[str]) -> set[str]:
+    found = _required(_parser.parse(pattern.pattern))
+    if found is None:
+        raise ValueError(f"no literal is required by {pattern.pattern[:80]}")
+    return {_folded(x).strip() or x for x in found}
 
 
 @cache
 def _stems() -> ahocorasick.Automaton:
-    """One automaton over the stems: a text is read once, whatever their number. Values: bit 1 evidence, bit 2 placeholder."""
+    """One automaton over what the patterns require, derived from them: a text is read once, whatever their number. Values: bit 1 evidence, bit 2 placeholder."""
     values: dict[str, int] = {}
-    for w in STEMS:
-        values[w.replace("_", " ")] = values.get(w, 0) | 1
-    for w in [*(b + w for w in _PROMPTS for b in "(（"), *(w + b for w in _PROMPT_ENDS for b in ")）")]:
-        values[w] = values.get(w, 0) | 2
+    for bit, patterns in ((1, [*(p for _, p in _EVIDENCE), _SORRY]), (2, [PLACEHOLDER])):
+        for w in set().union(*map(_literals, patterns)):
+            values[w] = values.get(w, 0) | bit
     automaton = ahocorasick.Automaton()
     for w, v in values.items():
         automaton.add_word(w, v)
@@ -143,9 +211,9 @@ def _stems() -> ahocorasick.Automaton:
 
 
 def _signs(text: str) -> int:
-    """Bits of what a text may hold: 1 evidence, 2 placeholders."""
-    bits = 2 if _OPENS.search(text) else 0
-    for _, v in _stems().iter(text.lower()):
+    """Bits of what a text may hold: 1 evidence, 2 placeholders. White space counts as one space, as in the patterns' sentences."""
+    bits = 0
+    for _, v in _stems().iter(_folded(" ".join(text.split()))):
         bits |= v
         if bits == 3:
             break
@@ -182,9 +250,6 @@ def _heading(line: str) -> bool:
     return len(line) <= 60 and line[-1] not in ".。!！?？।;；:："
 
 
-_SORRY = re.compile(r"(?:(?:很|非常)?抱歉|糟糕|oops|sorry|we are sorry|unfortunately|entschuldigung|désolé|lo sentimos|申し訳ありません)[\W_]{1,3}", re.I)
-
-
 def holes_of(line: str) -> int:
     """Unfilled placeholders of a line, without those of sentences that write about placeholders."""
     if not PLACEHOLDER.search(line):
