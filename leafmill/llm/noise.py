@@ -369,10 +369,10 @@ FOUND = "a string, n long, meant string, meant_n long, place int, read string, i
 
 def _vocabulary(words: DataFrame, trie_words: int) -> tuple[DataFrame, int, int]:
     """Words that may be meant, the number of tries they need, and the count of the most frequent."""
-    sums = words.agg(F.sum("n").alias("t"), F.max("n").alias("m")).first()
-    least = max(RATIO, int((sums["t"] or 0) * 1e-6))
-    vocabulary = words.filter((F.col("n") >= least) & (F.length("a") >= 3) & ~F.col("a").rlike(r"[\d!|$€£@§]")).select("a", "n")
-    return vocabulary, max(1, -(-vocabulary.count() // trie_words)), sums["m"] or 0
+    most = words.agg(F.max("n")).first()[0]
+    # The least count is that of the evidence, whatever the size of the corpus; the tries carry the vocabulary.
+    vocabulary = words.filter((F.col("n") >= RATIO) & (F.length("a") >= 3) & ~F.col("a").rlike(r"[\d!|$€£@§]")).select("a", "n")
+    return vocabulary, max(1, -(-vocabulary.count() // trie_words)), most or 0
 
 
 def word_candidates(words: DataFrame, queries: DataFrame, allowed: dict[str, set[str]] | None = None, edits: int = 1, trie_words: int = TRIE_WORDS) -> DataFrame:
