@@ -5,8 +5,8 @@ the sentences of all pages, labelled or not: each pass scores every sentence, an
 confident sentences add up to a profile of each source, and a logistic calibration on the labelled sources turns each share into an
 independent posterior per area. An area is assigned from a posterior of one half on; the most probable one always, two at most.
 
-Features are hashed into a block of fixed size per language, so the model has the same size for any corpus, and the complement of an
-area is taken within the language: few labels in one language do not tilt it.
+Features are hashed into a block of fixed size per language, which bounds the model for any corpus; it holds the rows of the features that
+were seen. The complement of an area is taken within the language: few labels in one language do not tilt it.
 
 Defined results: sources without text, or whose sentences say nothing about any area, get no row; null and empty texts count nothing;
 repeated labels count once per annotator row; labels outside subject_areas are ignored; a source ingested several times is one source.
@@ -27,8 +27,8 @@ from leafmill.llm.language import LANGUAGES, language
 from leafmill.llm.lookalike import look
 from leafmill.session import materialize
 
-#: Hashed features of one language; the model is a table of len(LANGUAGES) * FEATURES rows and a column per area.
-FEATURES = 1 << 14
+#: Hashed features of one language; the model has len(LANGUAGES) * FEATURES rows at most and a column per area.
+FEATURES = 1 << 18
 #: Bound of the labelled sources that the classifier is fitted on; beyond it those with the smallest hash are taken.
 LABELLED_SOURCES = 20_000
 SMOOTHING, ITERATIONS, LABEL_TRUST, CONFIDENT = 0.05, 3, 0.9, 0.75
@@ -96,20 +96,31 @@ def _flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Complement weights, features by areas."""
+    """Complement weights, seen features by areas; row 0 is that of features never seen, which say nothing."""
 
-    def __init__(self, counts: np.ndarray):
-        self.weights = np.zeros(counts.shape, dtype=np.float32)
+    def __init__(self, features: np.ndarray, counts: np.ndarray):
+        """features: sorted ids; counts: a row for each of them."""
+        self.features = features
+        self.weights = np.zeros((len(features) + 1, counts.shape[1]), dtype=np.float32)
         for k in range(len(LANGUAGES)):  # language by language, so that the driver holds one block at a time
-            block = counts[k * FEATURES : (k + 1) * FEATURES].astype(np.float64)
-            all_areas = block.sum(axis=1, keepdims=True)
-            complement = SMOOTHING + all_areas - block
+            begin, end = np.searchsorted(features, (k * FEATURES, (k + 1) * FEATURES))
+            if begin == end:
+                continue
+            block = counts[begin:end].astype(np.float64)
+            complement = SMOOTHING + block.sum(axis=1, keepdims=True) - block
             weights = np.log(complement) - np.log(complement.sum(axis=0, keepdims=True))
-            # Features that say the same about all areas cancel out; those never seen say nothing.
-            self.weights[k * FEATURES : (k + 1) * FEATURES] = np.where(all_areas > 0, weights.mean(axis=1, keepdims=True) - weights, 0.0)
+            # Features that say the same about all areas cancel out.
+            self.weights[begin + 1 : end + 1] = weights.mean(axis=1, keepdims=True) - weights
+        self._rows: np.ndarray | None = None
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        if self._rows is None:  # made in the worker, not shipped
+            self._rows = np.zeros(len(LANGUAGES) * FEATURES, dtype=np.int32)
+            self._rows[self.features] = np.arange(1, len(self.features) + 1, dtype=np.int32)
+        return self._rows[ids]
 
     def posteriors(self, ids: np.ndarray, begins: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
-        score = np.add.reduceat(self.weights[ids], begins, axis=0).astype(np.float64)
+        score = np.add.reduceat(self.weights[self.rows(ids)], begins, axis=0).astype(np.float64)
         if prior is not None:
             score += np.log(prior)
         score -= score.max(axis=1, keepdims=True)
@@ -117,15 +128,15 @@ class Model:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def _expected(rows: DataFrame, labels: dict[int, list[int]], areas: int, model: Model | None) -> np.ndarray:
-    """Expected feature counts by area: one pass, partial sums per task; only the fixed-size table comes back."""
+def _expected(rows: DataFrame, labels: dict[int, list[int]], areas: int, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """(features seen, their expected counts by area): one pass, partial sums per task; packed cells come back."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((labels, model))
     size = len(LANGUAGES) * FEATURES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, m = shared.value
-        total = np.zeros((size, areas))
+        row, seen, total = np.full(size, -1, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros((0, areas))
         for pdf in batches:
             if m is None:
                 pdf = pdf[pdf["src_id"].isin(known)]
@@ -141,16 +152,29 @@ def _expected(rows: DataFrame, labels: dict[int, list[int]], areas: int, model:
             if m is not None:
                 p = p * (p.max(axis=1, keepdims=True) >= 0.5)  # sentences that say nothing teach nothing
             of = np.repeat(np.arange(len(begins)), np.diff([*begins, len(ids)]))
+            fresh = np.unique(ids[row[ids] < 0])
+            row[fresh] = np.arange(len(seen), len(seen) + len(fresh), dtype=np.int32)
+            seen = np.concatenate([seen, fresh])
+            total = np.concatenate([total, np.zeros((len(fresh), areas))])
+            at = row[ids]
             for c in range(areas):
-                total[:, c] += np.bincount(ids, weights=p[of, c], minlength=size)
+                total[:, c] += np.bincount(at, weights=p[of, c], minlength=len(seen))
         at, area = np.nonzero(total)
-        yield pd.DataFrame({"cell": (at * areas + area).astype(np.int32), "n": total[at, area]})
+        yield pd.DataFrame({"cell": (seen[at] * areas + area).astype(np.int32), "n": total[at, area]})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"cells": [pdf["cell"].to_numpy(np.int32).tobytes()], "n": [pdf["n"].to_numpy(np.float32).tobytes()]})
 
-    summed = rows.mapInPandas(run, "cell int, n double").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toPandas()
-    counts = np.zeros(size * areas, dtype=np.float32)
-    counts[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    summed = rows.mapInPandas(run, "cell int, n double").groupBy("cell").agg(F.sum("n").cast("float").alias("n"))
+    packed = summed.mapInPandas(pack, "cells binary, n binary").collect()
     shared.destroy()
-    return counts.reshape(size, areas)
+    cells = np.frombuffer(b"".join(r["cells"] for r in packed), dtype=np.int32)
+    features, at = np.unique(cells // areas, return_inverse=True)
+    counts = np.zeros((len(features), areas), dtype=np.float32)
+    counts[at, cells % areas] = np.frombuffer(b"".join(r["n"] for r in packed), dtype=np.float32)
+    return features, counts
 
 
 def _profiles(rows: DataFrame, model: Model, areas: int) -> DataFrame:
@@ -210,9 +234,9 @@ def subject_profiles(sources: DataFrame, pages: DataFrame, chunks: DataFrame, la
     position = {n: k for k, n in enumerate(names)}
     given = labels.filter(F.col("subject").isin(names)).groupBy("src_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("src_id")).limit(LABELLED_SOURCES)
     known = {r["src_id"]: sorted(position[s] for s in r["subjects"]) for r in given.collect()}
-    model = Model(_expected(rows, known, len(names), None))
+    model = Model(*_expected(rows, known, len(names), None))
     for _ in range(ITERATIONS):
-        model = Model(_expected(rows, known, len(names), model))
+        model = Model(*_expected(rows, known, len(names), model))
     found = materialize(_profiles(rows, model, len(names)), "subject-shares")
     fit = found.join(given.select("src_id"), "src_id", "left_semi").toPandas()
     slope, offset = 20.0, -4.0
