@@ -1,8 +1,9 @@
 """Problem 4: noise in text from scanned pages: page furniture, divided words, misrecognised characters.
 
 Vocabulary. One pass over all pages counts words (scripts with spaces) and, for Chinese and Japanese, characters in three context
-windows. Candidates for a rare word come from intersecting its Levenshtein automaton, with the merges and splits of recognition
-errors as further edges, with a trie over the vocabulary: no candidate is missed. For scripts without spaces the word is the window
+windows. Candidates for a rare word come from intersecting an automaton of substitutions, merges and splits, the edits of recognition
+errors, with a trie over the vocabulary: no candidate of these edits is missed. One edit is tried freely; the confusions it teaches are
+then tried in one place for every two characters. Plain insertions and deletions, meant words with figures and single letters stay out. For scripts without spaces the word is the window
 and the edge is the substitution of its character. Which confusions a scan makes is learnt: a confusion counts once it is seen in
 several words or contexts that are otherwise firm. Context ranks the candidates: a reading stands against one that is many times more
 frequent in the same surroundings.
@@ -42,8 +43,6 @@ TRIE_WORDS = 200_000
 COMPANY = 0.4
 #: Bits of the bitmap of keys that the second pass looks up.
 BITMAP_BITS = 1 << 23
-#: Words longer than this are no words.
-LONGEST = 40
 
 _CJK = "぀-ゟ゠-ヿ㐀-䶿一-鿿"
 _HAS_CJK = re.compile(f"[{_CJK}]")
@@ -99,10 +98,8 @@ def furniture_marks(lines: list[str], page: int | None, headings: set[str]) -> I
     top = next((i for i in range(n) if lines[i].strip()), n)
     bottom = next((i for i in range(n - 1, -1, -1) if lines[i].strip()), -1)
     for i, x in enumerate(lines):
-        if not x or len(x) > 40 or not _NUMBER_LIKE.search(x):
-            continue
         line = x.strip()
-        if len(line) > 24 or not line:
+        if not line or len(line) > 24 or not _NUMBER_LIKE.search(x):
             continue
         if _BARE.fullmatch(line):
             if any(c.isdigit() for c in line) and (i in (top, bottom) or page is not None and line.translate(_AS_DIGITS) == str(page)):
@@ -154,8 +151,8 @@ _SIGNS = re.compile(r"[\d!|$€£@§]")
 
 
 def _is_word(token: str) -> bool:
-    """Not a number, code or checksum: of bounded length, with two figures or signs at most."""
-    return len(token) <= LONGEST and len(_SIGNS.findall(token)) <= 2
+    """Not a number: with two figures or signs at most, or a letter among them."""
+    return len(found := _SIGNS.findall(token)) <= 2 or len(found) < len(token)
 
 
 def _hash(text: str) -> int:
@@ -367,21 +364,21 @@ class Trie:
 FOUND = "a string, n long, meant string, meant_n long, place int, read string, into string, edits int"
 
 
-def _vocabulary(words: DataFrame, trie_words: int) -> tuple[DataFrame, int, int]:
+def _vocabulary(words: DataFrame, trie_words: int, shortest: int = 3) -> tuple[DataFrame, int, int]:
     """Words that may be meant, the number of tries they need, and the count of the most frequent."""
     most = words.agg(F.max("n")).first()[0]
     # The least count is that of the evidence, whatever the size of the corpus; the tries carry the vocabulary.
-    vocabulary = words.filter((F.col("n") >= RATIO) & (F.length("a") >= 3) & ~F.col("a").rlike(r"[\d!|$€£@§]")).select("a", "n")
+    vocabulary = words.filter((F.col("n") >= RATIO) & (F.length("a") >= shortest) & ~F.col("a").rlike(r"[\d!|$€£@§]")).select("a", "n")
     return vocabulary, max(1, -(-vocabulary.count() // trie_words)), most or 0
 
 
-def word_candidates(words: DataFrame, queries: DataFrame, allowed: dict[str, set[str]] | None = None, edits: int = 1, trie_words: int = TRIE_WORDS) -> DataFrame:
+def word_candidates(words: DataFrame, queries: DataFrame, allowed: dict[str, set[str]] | None = None, edits: int | None = 1, trie_words: int = TRIE_WORDS, shortest: int = 3) -> DataFrame:
     """a (the reading), n, meant, meant_n, place, read, into, edits: all vocabulary words that the automaton of a doubtful word reaches.
 
-    words, queries: a, n. Each trie holds a shard of the vocabulary; its size is bounded by trie_words, and every query meets every shard.
+    edits: the most of a word; None: one for every two characters, rounded up. words, queries: a, n. Each trie holds a shard of the vocabulary; its size is bounded by trie_words, and every query meets every shard.
     """
     spark = words.sparkSession
-    vocabulary, shards, _ = _vocabulary(words, trie_words)
+    vocabulary, shards, _ = _vocabulary(words, trie_words, shortest)
     queries = queries.repartition(max(4, 2 * cores_of(spark)), "a")
     found = None
     for shard in range(shards):
@@ -394,7 +391,7 @@ def word_candidates(words: DataFrame, queries: DataFrame, allowed: dict[str, set
             for pdf in batches:
                 out = []
                 for a, n in zip(pdf["a"], pdf["n"], strict=True):
-                    for v, steps in trie.within(a, allowed, edits):
+                    for v, steps in trie.within(a, allowed, edits or (len(a) + 1) // 2):
                         if known[v] >= RATIO * n:
                             out += [(a, n, v, known[v], place, read, into, len(steps)) for place, read, into in steps]
                 yield pd.DataFrame(out, columns=["a", "n", "meant", "meant_n", "place", "read", "into", "edits"])
@@ -408,24 +405,26 @@ def misread_words(words: DataFrame) -> DataFrame:
     """a (folded reading), meant, place: readings that the learnt confusions explain, each with its likeliest word."""
     _, _, most = _vocabulary(words, TRIE_WORDS)
     # Only a word that something may outnumber can be doubted.
-    queries = words.filter((F.length("a") >= 3) & (F.col("n") * RATIO <= most)).select("a", "n")
-    single = materialize(word_candidates(words, queries), "word-candidates")
+    queries = words.filter((F.length("a") >= 2) & (F.col("n") * RATIO <= most)).select("a", "n")
+    # An edit reads two characters at most and no meant word holds a figure or sign, so three of them are never one edit.
+    signs = F.length("a") - F.length(F.regexp_replace("a", r"[\d!|$€£@§]", ""))
+    single = materialize(word_candidates(words, queries.filter((F.length("a") >= 3) & (signs <= 2))), "word-candidates")
     # A confusion: seen in several words; a figure or sign inside a word speaks for itself.
     learnt = single.groupBy("read", "into").agg(F.count_distinct("a").alias("words"), F.count_distinct("meant").alias("meanings"))
     inside = F.col("read").rlike(r"[\d!|$€£@§]")
     least = F.when(inside, 2).otherwise(CONFUSION_WORDS)
     learnt = learnt.filter((F.col("words") >= least) & (F.col("meanings") >= least)).select("read", "into", "words")
     learnt = materialize(learnt, "confusions")
-    # Longer words may be misread twice; the learnt confusions, pairs of one or two letters each, prune that search.
+    # A word may be misread in several places, and short ones too; the learnt confusions, pairs of one or two letters each, prune that search.
     allowed: dict[str, set[str]] = defaultdict(set)
     for r in learnt.select("read", "into").toLocalIterator():
         allowed[r["read"]].add(r["into"])
-    rest = queries.filter(F.length("a") >= 7).join(single.join(learnt, ["read", "into"], "left_semi").select("a").distinct(), "a", "left_anti")
-    found = single.unionByName(word_candidates(words, rest, dict(allowed), 2).filter("edits = 2"))
+    rest = queries.join(single.join(learnt, ["read", "into"], "left_semi").select("a").distinct(), "a", "left_anti")
+    found = single.unionByName(word_candidates(words, rest, dict(allowed), None, shortest=2))
     explained = found.join(learnt, ["read", "into"]).groupBy("a", "n", "meant", "meant_n", "edits").agg(
         F.count_distinct("place").alias("got"), F.min("place").alias("place"), F.min("words").alias("words"), F.min(F.concat_ws(">", "read", "into")).alias("pair")
     )
-    explained = explained.filter("got = edits")
+    explained = explained.filter("got >= edits")  # more where several ways lead to the same word
     best = Window.partitionBy("a").orderBy(F.col("edits"), F.col("words").desc(), F.col("meant_n").desc(), "meant")
     return explained.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("a", "meant", "place", "pair")
 
