@@ -241,7 +241,7 @@ def evidence_grounding(spark, d):
 @query()
 def verbatim_overlap(spark, d):
     """Each page against the one read before it; the scan jumps after a hit, so it is checked against brute force in the tests."""
-    pages = table(spark, d, "pdf_pages").select("page_id", F.substring("text", 1, 10**6).alias("text")).filter("text IS NOT NULL")
+    pages = table(spark, d, "pdf_pages").select("page_id", "text").filter("text IS NOT NULL")
     other = pages.select((F.col("page_id") + 1).alias("page_id"), F.col("text").alias("before"))
     return pages.join(other, "page_id").select("page_id", F.floor(text.verbatim_overlap(F.col("text"), F.col("before")) * 1000 + 0.5).cast("long").alias("overlap_milli"))
 
