@@ -1,12 +1,12 @@
 """Problem 6: text that was decoded with the wrong character encoding.
 
-Every candidate decoding of a suspect line (the wrong codec undone, the right one applied, chains of up to MAX_STEPS) is compressed
-with zstandard under a dictionary of each language it may be in. The chain of minimum description length wins: compressed size plus
-the cost of its steps and of what stays lost. A line that no chain shortens is left unchanged; it still counts as garbled where it
+Every candidate decoding of a suspect line (the wrong codec undone, the right one applied) is compressed with zstandard under a dictionary
+of each language it may be in, and the BEAM shortest are undone further, for chains of up to MAX_STEPS. The chain of minimum description
+length wins: compressed size plus the cost of its steps and of what stays lost. A line that no chain shortens is left unchanged; it still counts as garbled where it
 holds marks that only wrong decoding leaves (replacement characters, C1 controls).
 
-The dictionaries and the repertoire of regular characters are a model fitted on a bounded sample of about SAMPLE_PAGES pages, of
-which pages with such marks are left out; every page is then judged against the model.
+The regular characters of each script are counted over all pages; the dictionaries are fitted on a bounded sample of about SAMPLE_PAGES
+pages. Pages that show what wrong decoding leaves teach neither. Every page is then judged against the model.
 
 Defined results: null and empty texts are never garbled and stay as they are; each row is judged on its own.
 """
@@ -14,23 +14,30 @@ Defined results: null and empty texts are never garbled and stay as they are; ea
 from __future__ import annotations
 
 import re
+from codecs import charmap_encode
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.language import language
+from leafmill.llm.language import WORDS, language
 from leafmill.llm.lookalike import visible_table
 
 #: Bound of the sample on which the dictionaries are trained, and bytes of each dictionary.
 SAMPLE_PAGES, DICTIONARY_BYTES = 4000, 32_768
 #: Description cost in bytes: of a step of the chain, of each character that stays lost, and the least gain for a change.
 STEP_COST, LOST_COST, LEAST_GAIN, MAX_STEPS = 3, 6, 1, 3
-#: A character is regular for the corpus if this share of a language's sampled pages holds it.
+#: Decodings that a step hands on to the next one.
+BEAM = 3
+#: No compressed text is shorter, in bytes.
+LEAST_BYTES = 3
+#: A character is regular for the corpus if this share of a script's clean pages holds it.
 REGULAR_SHARE = 0.004
 
 # Codecs that texts get wrongly decoded with, and codecs that they were written in.
@@ -39,6 +46,17 @@ MULTI = ("gb18030", "cp950", "cp932", "cp949", "euc_jp")
 SINGLE_RIGHT = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251")
 
 
+def _ranges(chars) -> str:
+    """The inside of a character class, with runs as ranges; a class of single characters beyond the BMP would be searched one by one."""
+    runs: list[list[int]] = []
+    for p in sorted(map(ord, chars)):
+        if runs and p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" if z > a else re.escape(chr(a)) for a, z in runs)
+
+
 @cache
 def _byte_table(codec: str) -> dict[int, int]:
     """Character to byte of a single-byte codec; bytes without a character stand as C1 controls, as lenient decoders leave them."""
@@ -63,16 +81,29 @@ def _utf8_pairs(codec: str) -> str:
 
 #: UTF-8 seen through the commonest single-byte codecs.
 SEQUENCES = {codec: re.compile(_utf8_pairs(codec)) for codec in ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp1254")}
-_ANY_SEQUENCE = re.compile("|".join(p.pattern for k, p in SEQUENCES.items() if k in ("cp1252", "cp437", "mac_roman", "cp850")))
+_COMMON = ("cp1252", "cp437", "mac_roman", "cp850")
+_SEQUENCE = "|".join(SEQUENCES[k].pattern for k in _COMMON)
+_LEADS = _ranges({chr(c) for k in _COMMON for c, b in _byte_table(k).items() if b >= 0xC2})
+#: Box drawing, private use, and letters and signs inside a word of another script.
+_span = lambda *pairs: "".join(f"{chr(a)}-{chr(z)}" for a, z in pairs)
+_BOXES, _OTHER_SCRIPT = _span((0x2500, 0x259F), (0xE000, 0xF8FF)), _span((0x370, 0x52F), (0xE00, 0xE5B))
+_SIGNS = _span((0xA2, 0xAA), (0xAC, 0xAC), (0xAE, 0xB4), (0xB6, 0xB6), (0xB8, 0xBA), (0xBC, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2C6, 0x2DD), (0x201A, 0x201A), (0x201E, 0x201E), (0x2020, 0x2022), (0x2030, 0x2030), (0x2122, 0x2122))
+_ODD = f"[{_BOXES}]|(?<=[A-Za-z])[{_OTHER_SCRIPT}](?=[a-z])|(?<=[a-z])[{_SIGNS}](?=[a-z])"
+_ODD_LEADS = _BOXES + _OTHER_SCRIPT + _SIGNS
+# What a match begins with is asked first, for most characters begin none.
+_ANY_SEQUENCE = re.compile(f"(?=[{_LEADS}])(?:{_SEQUENCE})")
+ODD = re.compile(f"(?=[{_ODD_LEADS}])(?:{_ODD})")
+_EITHER = re.compile(f"(?=[{_LEADS}{_ODD_LEADS}])(?:{_SEQUENCE}|{_ODD})")
 #: What only wrong decoding leaves.
-MARKS = re.compile("[\ufffd\x80-\x84\x86-\x9f]")
-#: Letters inside a word of another script that is not its look-alike, box drawing, private use.
-ODD = re.compile("[\u2500-\u259f\ue000-\uf8ff]|[A-Za-z][\u0370-\u052f\u0e00-\u0e5b][a-z]|[a-z][\u00a2-\u00aa\u00ac\u00ae-\u00b4\u00b6\u00b8-\u00ba\u00bc-\u00bf\u02c6-\u02dd\u2020-\u2022\u2030\u2122\u00d7\u00f7\u201a\u201e][a-z]")
+MARKS = re.compile("[�\x80-\x84\x86-\x9f]")
+_SCRIPTS = tuple((k, re.compile(f"[{p}]")) for k, p in (("th", "ก-๛"), ("hi", "ऀ-ॿ"), ("ja", "ぁ-ヿ"), ("zh", "一-鿿")))
+#: Characters that only multi-byte codecs hold.
+_WIDE = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\ufe30-\ufe4f\uff00-\uffef\U00010000-\U0010ffff]")
 
 
 def _utf8_behind(line: str) -> bool:
     """Whether a line is valid UTF-8, seen through one of the commonest codecs."""
-    for codec in ("cp1252", "cp437", "mac_roman", "cp850"):
+    for codec in _COMMON:
         table = _byte_table(codec)
         raw = bytes(table.get(ord(c), 0xFF) for c in line)
         try:
@@ -83,25 +114,38 @@ def _utf8_behind(line: str) -> bool:
     return False
 
 
+def _clean(text: str) -> bool:
+    """Whether a page shows nothing that wrong decoding leaves; only such pages teach."""
+    if text.isascii() or not MARKS.search(text) and not _EITHER.search(text):
+        return True
+    return not MARKS.search(text) and not ODD.search(text) and not any(_utf8_behind(x) for x in text.split("\n") if _ANY_SEQUENCE.search(x))
+
+
 class Model:
-    """Per-language dictionaries and the regular characters; small, fitted on the driver, shipped with the tasks."""
+    """Per-language dictionaries and the regular characters; small, made on the driver, shipped with the tasks."""
 
-    def __init__(self, pages: list[str]):
+    def __init__(self, pages: list[str], held: dict[str, Counter] | None = None):
+        """pages: the sample that gives the dictionaries; held: per script, how many clean pages hold each character, and under "" how many there are (of the sample if None)."""
         texts: dict[str, list[str]] = defaultdict(list)
         for t in pages:
-            if t and not MARKS.search(t) and not ODD.search(t) and not any(_utf8_behind(x) for x in t.split("\n") if _ANY_SEQUENCE.search(x)):
+            if t and _clean(t):
                 texts[language(t)].append(t)
+        if held is None:
+            held = defaultdict(Counter)
+            for t in chain.from_iterable(texts.values()):
+                held[_script(set(t))].update({"", *t})
+        regular = {chr(c) for c in range(0x20, 0x7F)} | {"\n", "\r", "\t"}
+        for script, counts in held.items():
+            # Several languages share the Latin script, each with letters of its own.
+            least = max(2, REGULAR_SHARE * counts[""] / (len(WORDS) if script == "latin" else 1))
+            regular |= {c for c, n in counts.items() if c and n >= least}
+        self.regular = "".join(sorted(regular))
         self.raw: dict[str, bytes] = {}
-        regular: set[str] = {chr(c) for c in range(0x20, 0x7F)} | {"\n", "\r", "\t"}
         for lang, rows in texts.items():
-            held = Counter(c for t in rows for c in set(t))
-            least = max(2, REGULAR_SHARE * len(rows))
-            regular |= {c for c, n in held.items() if n >= least}
             lines = list(dict.fromkeys(x.strip() for t in rows for x in re.split(r"\n|(?<=[。！？।])|(?<=[.!?]) ", t) if len(x.strip()) > 3))
             if lang != "und" and lines:
                 # The content of a raw dictionary: whole lines, so that also few samples make one.
                 self.raw[lang] = "\n".join(lines).encode()[-DICTIONARY_BYTES * 4 :] if len(lines) < 50 else _trained(lines)
-        self.regular = "".join(sorted(regular))
 
     def judge(self) -> Judge:
         return Judge(self.raw, self.regular)
@@ -121,78 +165,81 @@ class Judge:
     def __init__(self, raw: dict[str, bytes], regular: str):
         self.squeeze = {k: zstandard.ZstdCompressor(dict_data=_precomputed(v), compression_params=_PARAMS) for k, v in raw.items()}
         known = set(regular) | {chr(c) for c in visible_table() if not 0xFF66 <= c <= 0xFF9F}
-        self.irregular = re.compile("[^" + "".join(re.escape(c) for c in sorted(known) if c != "\ufffd" and not "\x80" <= c <= "\x9f") + "]")
+        self.irregular = re.compile(f"[^{_ranges(c for c in known if c != '\ufffd' and not '\x80' <= c <= '\x9f')}]")
         self.latin = [k for k in ("en", "de", "fr", "es") if k in self.squeeze]
-        self.size = self._size
 
     def suspect(self, text: str) -> bool:
         """Whether a text or line goes to the search; a text without one suspect line is clean."""
-        return not text.isascii() and (self.irregular.search(text) is not None or _ANY_SEQUENCE.search(text) is not None or ODD.search(text) is not None)
+        return not text.isascii() and (self.irregular.search(text) is not None or _EITHER.search(text) is not None)
 
     def _languages(self, text: str) -> list[str]:
-        scripts = [k for k, p in (("th", "ก-๛"), ("hi", "ऀ-ॿ"), ("ja", "ぁ-ヿ"), ("zh", "一-鿿")) if k in self.squeeze and re.search(f"[{p}]", text)]
+        scripts = [k for k, p in _SCRIPTS if k in self.squeeze and p.search(text)]
         return scripts or self.latin or list(self.squeeze)[:1]
 
-    def _size(self, text: str) -> float:
-        """Bytes of the shortest description of a text under any language that its script allows, and the cost of lost characters."""
+    def packed(self, text: str) -> int:
+        """Bytes of the shortest description of a text under any language that its script allows."""
         raw = text.encode("utf-8", "replace")
-        return min((len(self.squeeze[k].compress(raw)) for k in self._languages(text)), default=len(raw)) + LOST_COST * len(MARKS.findall(text))
-
-    def _odd(self, text: str) -> float:
-        """Share of characters that are not regular."""
-        return len(self.irregular.findall(text)) / max(1, len(text))
-
-    def candidates(self, line: str) -> Iterator[tuple[str, str, int]]:
-        """(step, decoding, characters dropped) of the ways to undo one wrong decoding that leave fewer irregular characters, or are valid UTF-8 throughout."""
-        seen, odd = {line}, self._odd(line)
-        points = [ord(c) for c in line if c != "\ufffd"]
-        sequences = _ANY_SEQUENCE.search(line) is not None
-        for wrong in SINGLE_WRONG:
-            table = _byte_table(wrong)
-            if not all(p in table for p in points):
-                continue
-            raw = bytes(table[p] for p in points)
-            high = sum(b > 0x7F for b in raw) / max(1, len(raw))
-            for right in ("utf-8", *(MULTI if high > 0.3 else ()), *(SINGLE_RIGHT if high < 0.3 and not sequences else ())):
-                if right == wrong:
-                    continue
-                made = raw.decode(right, "replace")
-                valid = right == "utf-8" and "\ufffd" not in made
-                if made not in seen and (valid or made.count("\ufffd") <= 0.15 * len(made) and self._odd(made) < odd):
-                    seen.add(made)
-                    yield f"{wrong}>{right}", made, 0
-                if valid and made != line:
-                    break
-        if any(p > 0x2E7F for p in points):
-            text = line.replace("\ufffd", "")
+        return min((len(self.squeeze[k].compress(raw)) for k in self._languages(text)), default=len(raw))
+
+    def size(self, text: str) -> int:
+        """Its description, and the cost of the characters in it that are lost."""
+        return self.packed(text) + LOST_COST * len(MARKS.findall(text))
+
+    def candidates(self, line: str, room: float) -> Iterator[tuple[str, str, int]]:
+        """(step, decoding, characters lost) of all ways to undo one wrong decoding that lose `room` characters at most; equal decodings come once, by the first step that gives them.
+
+        Characters are lost where the wrong codec does not hold them or the right one cannot read them; replacement characters are lost for good.
+        """
+        seen = {line}
+        text = line.replace("\ufffd", "")
+        bare = len(line) - len(text)
+        ways: dict[bytes, tuple[str, tuple[str, ...], int]] = {}  # equal bytes are decoded once
+        if not _WIDE.search(text):
+            for wrong in SINGLE_WRONG:
+                try:
+                    ways.setdefault(charmap_encode(text, "strict", _byte_table(wrong))[0], (wrong, ("utf-8", *MULTI, *SINGLE_RIGHT), bare))
+                except UnicodeEncodeError:
+                    pass
+        else:
             for wrong in MULTI:
                 raw = text.encode(wrong, "ignore")
-                gone = len(text) - len(raw.decode(wrong, "ignore"))
-                if gone > 0.1 * len(text):
-                    continue
-                for right in ("utf-8", *MULTI, "cp1252"):
-                    made = raw.decode(right, "replace") if right != wrong else line
-                    if made not in seen and made.count("\ufffd") <= 0.25 * len(made) and self._odd(made) < odd:
-                        seen.add(made)
-                        yield f"{wrong}>{right}", made, gone
+                ways.setdefault(raw, (wrong, ("utf-8", *MULTI, "cp1252"), bare + len(text) - len(raw.decode(wrong, "ignore"))))
+        for raw, (wrong, rights, gone) in ways.items():
+            if gone > room:
+                continue
+            for right in rights:
+                if right != wrong and (made := raw.decode(right, "replace")) not in seen and gone + made.count("\ufffd") <= room:
+                    seen.add(made)
+                    yield f"{wrong}>{right}", made, gone
 
     def repair(self, line: str) -> tuple[str, str, bool]:
-        """(best text, chain, garbled) of a line by minimum description length."""
+        """(best text, chain, garbled) of a line by minimum description length over the chains of up to MAX_STEPS steps.
+
+        All decodings of a step are compressed; the BEAM shortest descriptions that still hold something suspect are carried on, whether
+        or not they are shorter than the line itself. What is lost stays lost and every step costs, so a decoding whose losses and steps
+        alone cost as much as the best description so far is cut off.
+        """
         if not self.suspect(line):
             return line, "", False
-        best, chain, cost = line, "", self.size(line)
-        text, way, lost = line, "", 0
-        for step in range(MAX_STEPS):
-            reached = [(self.size(made) + STEP_COST * (step + 1) + LOST_COST * (lost + gone), made, name, gone) for name, made, gone in self.candidates(text)]
-            if not reached:
-                break
-            now, text, name, gone = min(reached)
-            lost += gone
-            way = f"{way} {name}".strip()
-            if now <= cost - LEAST_GAIN:
-                cost, best, chain = now, text, way
-            if not self.suspect(text):
-                break
+        best, chain, least = line, "", self.size(line) - LEAST_GAIN
+        front, reached = [(0, line, "", 0)], {line}
+        for step in range(1, MAX_STEPS + 1):
+            found = []
+            for _, text, way, lost in front:
+                for name, made, gone in self.candidates(text, (least - LEAST_BYTES - STEP_COST * step) / LOST_COST - lost):
+                    if made not in reached:
+                        reached.add(made)
+                        found.append((self.size(made) + STEP_COST * step + LOST_COST * (lost + gone), made, f"{way} {name}".strip(), lost + gone))
+            found.sort()
+            if found and found[0][0] <= least:
+                least, best, chain, _ = found[0]
+                least -= 1e-9  # a later chain has to be shorter
+            front = []
+            for node in found:
+                if self.suspect(node[1]):
+                    front.append(node)
+                    if len(front) == BEAM:
+                        break
         return best, chain, bool(chain) or MARKS.search(line) is not None
 
 
@@ -205,12 +252,41 @@ def _precomputed(raw: bytes) -> zstandard.ZstdCompressionDict:
     return d
 
 
+_LETTERS = tuple((k, frozenset(map(chr, r))) for k, r in (("ja", range(0x3041, 0x3100)), ("th", range(0x0E01, 0x0E5C)), ("hi", range(0x0900, 0x0980))))
+
+
+def _script(chars: set[str]) -> str:
+    """Whose statistics a page adds to."""
+    for script, held in _LETTERS:
+        if not held.isdisjoint(chars):
+            return script
+    return "zh" if _WIDE.search("".join(chars)) else "latin"
+
+
+def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """script, c, n: how many clean pages of a batch hold each character; c = 0 stands for the pages themselves."""
+    for pdf in batches:
+        groups: dict[str, list[str]] = defaultdict(list)
+        for text in pdf["text"]:
+            if _clean(text):
+                chars = set(text)
+                groups[_script(chars)].append("".join(chars - {"\0"}))
+        out = []
+        for script, held in groups.items():
+            points, n = np.unique(np.frombuffer("".join(held).encode("utf-32-le", "replace"), dtype=np.uint32), return_counts=True)
+            out.append(pd.DataFrame({"script": script, "c": np.append(points, 0).astype(np.int32), "n": np.append(n, len(held))}))
+        yield from out
+
+
 def fit(pages: DataFrame, most: int = SAMPLE_PAGES) -> Model:
-    """The model from about `most` pages, chosen by a hash of their id; they are the only text that comes to the driver."""
+    """The model: characters counted over all pages (a row per script and character comes back, which Unicode bounds), dictionaries
+    from about `most` pages, chosen by a hash of their id; they are the only text that comes to the driver."""
     rows = pages.filter(F.length("text") > 0).select("page_id", "text")
+    counts = rows.select("text").mapInPandas(_held, "script string, c int, n long").groupBy("script", "c").agg(F.sum("n").alias("n")).toPandas()
+    held = {script: Counter({chr(c) if c else "": int(n) for c, n in zip(part["c"], part["n"], strict=True)}) for script, part in counts.groupby("script")}
     step = max(1, rows.count() // most)
     sample = rows.filter(F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0).limit(2 * most).select("text").toPandas()["text"]
-    return Model(sample.tolist())
+    return Model(sample.tolist(), held)
 
 
 @cache

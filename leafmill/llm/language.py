@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 LANGUAGES = ("zh", "ja", "th", "hi", "en", "de", "fr", "es")
 
@@ -19,14 +20,20 @@ for _lang, _words in WORDS.items():
     for _w in _words:
         _LANGUAGE_OF.setdefault(_w, []).append(_lang)
 _TOKEN = re.compile(r"[^\W\d_]+")
-_KANA, _HAN, _THAI, _DEVA = (re.compile(f"[{r}]") for r in ("ぁ-ヿ", "㐀-鿿\U00020000-\U0003134f", "ก-๛", "ऀ-ॿ"))
-_LATIN = re.compile("[A-Za-zÀ-ɏ]")
+# Runs: a text has far fewer of them than letters.
+_KANA, _HAN, _THAI, _DEVA, _LATIN = (re.compile(f"[{r}]+") for r in ("ぁ-ヿ", "㐀-鿿\U00020000-\U0003134f", "ก-๛", "ऀ-ॿ", "A-Za-zÀ-ɏ"))
+
+
+def _letters(runs: re.Pattern[str], text: str) -> int:
+    return sum(map(len, runs.findall(text)))
 
 
 def language(text: str) -> str:
     """One of LANGUAGES, or und for a text without letters. The script with most letters decides; kana in Han text mean ja."""
-    han, kana, thai, deva = (len(p.findall(text)) for p in (_HAN, _KANA, _THAI, _DEVA))
-    latin = len(_LATIN.findall(text)) / 3  # an ideograph says as much as several letters
+    if text.isascii():
+        return latin_language(text) if _LATIN.search(text) else "und"
+    han, kana, thai, deva = (_letters(p, text) for p in (_HAN, _KANA, _THAI, _DEVA))
+    latin = _letters(_LATIN, text) / 3  # an ideograph says as much as several letters
     best = max(han + kana, thai, deva, latin)
     if best == 0:
         return "und"
@@ -41,7 +48,7 @@ def language(text: str) -> str:
 
 def latin_votes(text: str) -> Counter:
     """How many of a text's words speak for each language in Latin script."""
-    return Counter(lang for w in _TOKEN.findall(text.lower()) for lang in _LANGUAGE_OF.get(w, ()))
+    return Counter(chain.from_iterable(map(_LANGUAGE_OF.__getitem__, filter(_LANGUAGE_OF.__contains__, _TOKEN.findall(text.lower())))))
 
 
 def latin_language(text: str) -> str:
