@@ -34,7 +34,7 @@ SAMPLE_PAGES, DICTIONARY_BYTES = 4000, 32_768
 #: Description cost in bytes: of a step of the chain, of each character that stays lost, and the least gain for a change.
 STEP_COST, LOST_COST, LEAST_GAIN, MAX_STEPS = 3, 6, 1, 3
 #: Decodings that a step hands on to the next one.
-BEAM = 3
+BEAM = 4
 #: No compressed text is shorter, in bytes.
 LEAST_BYTES = 3
 #: A character is regular for the corpus if this share of a script's clean pages holds it.

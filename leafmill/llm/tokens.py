@@ -1,10 +1,10 @@
 """Problem 7: encoding with a public byte-level BPE vocabulary, by DuckDB's recursive queries inside the Spark tasks.
 
 Per partition the distinct words of the texts become token-position rows; each step of a recursive query joins the neighbouring
-tokens with the merge table and contracts every word's leftmost pair of least rank, until no word has a pair left; an ordered
-aggregation gives the ids. Words are cut beforehand where two bytes stand next to each other in no token of the vocabulary: no
-merge can span such a place, so the parts are encoded on their own, and few distinct parts remain. Known parts are kept per
-Python worker, up to MEMO_PARTS.
+tokens with the merge table and contracts every word's pair of least rank from the left, until no word has a pair left; an ordered
+aggregation gives the ids. The recursion is keyed by place and so holds the live tokens only. Words are cut beforehand where no token
+of the vocabulary can span: no merge crosses such a place, so the parts are encoded on their own, and few distinct parts remain.
+Known parts are kept per Python worker, up to MEMO_PARTS.
 
 Defined results: null and empty text give an empty list; strings that look like special tokens are ordinary text; any text
 decodes to itself, but for lone surrogates, which Parquet cannot hold.
@@ -15,16 +15,19 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, pairwise
 from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.session import shared_dir
+
 #: The folder of the public tokenizers; a parameter of every function here, never copied into the repository.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
@@ -32,35 +35,43 @@ VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words and parts that a Python worker remembers; beyond it the memo starts anew.
 MEMO_PARTS = 300_000
+#: Bytes from which a part is looked through for tokens that lie across its places.
+LONG_PART = 48
+
+#: Rows of one recursive query: parts are taken together up to so many bytes.
+QUERY_BYTES = 200_000
 
+# The recursion is keyed by place, so it holds the live tokens only; a place that went into its left neighbour holds -1. Each round looks at
+# the words that the last one changed (step) and takes their pair of least rank: from the left, each place once. All places of the pair are
+# taken at once where no merge of what it makes comes before it in rank (safe), else the leftmost alone.
 MERGE_QUERY = """
-WITH RECURSIVE step(round, word, pos, token) AS (
-    SELECT 0, word, pos, token FROM symbols
-    UNION ALL
-    SELECT round + 1, word, pos, token FROM (
-        SELECT round, word, pos, merged, token, least_here, before,
-               CASE WHEN code = least_here THEN merged ELSE token END AS token_after
+WITH RECURSIVE step(word, pos, token) USING KEY (word, pos) AS (
+    SELECT word, pos, token FROM symbols
+    UNION
+    SELECT word, unnest([pos, next_pos]), unnest([merged, -1]) FROM (
+        SELECT word, pos, next_pos, merged, safe, idx, row_number() OVER (PARTITION BY word, idx - nth ORDER BY idx) AS place, nth
         FROM (
-            SELECT *, lag(code) OVER (PARTITION BY word ORDER BY pos) AS before, min(code) OVER (PARTITION BY word) AS least_here
+            SELECT word, pos, next_pos, idx, merged, safe, row_number() OVER (PARTITION BY word ORDER BY idx) AS nth
             FROM (
-                SELECT s.round, s.word, s.pos, s.token, m.merged, m.rank::BIGINT * 65536 + s.pos AS code
-                FROM (SELECT *, lead(token) OVER (PARTITION BY word ORDER BY pos) AS following FROM step) s
-                LEFT JOIN merges m ON m.lft = s.token AND m.rgt = s.following
-            )
+                SELECT s.*, m.merged, m.safe, m.rank, min(m.rank) OVER (PARTITION BY s.word) AS least
+                FROM (
+                    SELECT word, pos, token, lead(token) OVER w AS next_token, lead(pos) OVER w AS next_pos, row_number() OVER w AS idx
+                    FROM recurring.step WHERE token >= 0 AND word IN (SELECT word FROM step) WINDOW w AS (PARTITION BY word ORDER BY pos)
+                ) s JOIN merges m ON m.lft = s.token AND m.rgt = s.next_token
+            ) WHERE rank = least
         )
-        WHERE least_here IS NOT NULL AND before IS DISTINCT FROM least_here
-    ) t(round, word, pos, merged, old, least_here, before, token)
+    ) WHERE place % 2 = 1 AND (safe OR nth = 1)
 )
-SELECT word, list(token ORDER BY pos) AS ids
-FROM (SELECT *, max(round) OVER (PARTITION BY word) AS last FROM step)
-WHERE round = last GROUP BY word ORDER BY word
+SELECT word, list(token ORDER BY pos) AS ids FROM step WHERE token >= 0 GROUP BY word
 """
 
 
 class WordEncoder:
     """Encodes words with one vocabulary; holds the merge table in a DuckDB connection of its own."""
 
-    def __init__(self, folder: str = TOKENIZERS, name: str = VOCABULARY):
+    def __init__(self, folder: str = TOKENIZERS, name: str = VOCABULARY, spill: str = ""):
+        """spill: a folder that a query may spill to; without one it may not."""
+        import ahocorasick
         import duckdb  # only where words are encoded, not on the driver
 
         model = json.loads(Path(folder, name).read_text(encoding="utf-8"))["model"]
@@ -69,12 +80,21 @@ class WordEncoder:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.byte_id = np.array([vocab[shown[b]] for b in range(256)], dtype=np.int32)
         self.join = np.zeros(65536, dtype=bool)  # byte pairs that stand next to each other in some token
+        self.spans = ahocorasick.Automaton()  # tokens of several bytes, a character for each
         for token in vocab:
-            raw = np.array([byte_of[c] for c in token if c in byte_of], dtype=np.int64)
+            plain = "".join(chr(byte_of[c]) for c in token if c in byte_of)
+            raw = np.array(list(map(ord, plain)), dtype=np.int64)
             self.join[raw[:-1] * 256 + raw[1:]] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": "false"})
-        pairs = pd.DataFrame([(vocab[a], vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(merges)], columns=["lft", "rgt", "rank", "merged"], dtype="int32")  # noqa: F841
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
+            if len(plain) > 1:
+                self.spans.add_word(plain, len(plain))
+        self.spans.make_automaton()
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": "false", "temp_directory": spill})
+        first_use: dict[str, int] = {}
+        for k, pair in enumerate(merges):
+            for x in pair:
+                first_use.setdefault(x, k)
+        pairs = pd.DataFrame([(vocab[a], vocab[b], k, vocab[a + b], first_use.get(a + b, k) >= k) for k, (a, b) in enumerate(merges)], columns=["lft", "rgt", "rank", "merged", "safe"])  # noqa: F841
+        self.db.execute("CREATE TABLE merges AS SELECT lft::INTEGER AS lft, rgt::INTEGER AS rgt, rank::INTEGER AS rank, merged::INTEGER AS merged, safe FROM pairs")
         self.words: dict[str, tuple[int, ...]] = {}
         self.parts: dict[bytes, tuple[int, ...]] = {}
 
@@ -87,6 +107,23 @@ class WordEncoder:
         for word, ids in self.db.execute(MERGE_QUERY).fetchall():
             self.parts[parts[word]] = tuple(ids)
 
+    def _parts(self, raw: bytes) -> list[bytes]:
+        """A word, cut where no token can span: its two bytes stand together in none, or, in what stays long, no token of the text lies across."""
+        codes = np.frombuffer(raw, dtype=np.uint8).astype(np.int64)
+        places = [0, *(np.flatnonzero(~self.join[codes[:-1] * 256 + codes[1:]]) + 1).tolist(), len(raw)]
+        parts = []
+        for a, b in pairwise(places):
+            if b - a <= LONG_PART:
+                parts.append(raw[a:b])
+                continue
+            across = np.zeros(b - a + 1, dtype=np.int64)  # tokens that begin to lie across a place, less those that end to
+            for end, size in self.spans.iter(raw[a:b].decode("latin-1")):
+                across[end - size + 2] += 1
+                across[end + 1] -= 1
+            inner = np.flatnonzero(np.cumsum(across)[1 : b - a] == 0) + 1
+            parts += [raw[a + i : a + j] for i, j in pairwise([0, *inner.tolist(), b - a])]
+        return parts
+
     def learn(self, words: set[str]) -> None:
         """Makes the ids of new words known."""
         if len(self.words) + len(words) > MEMO_PARTS:
@@ -97,15 +134,19 @@ class WordEncoder:
             if len(raw) == 1:
                 cut[w] = [raw]
                 continue
-            codes = np.frombuffer(raw, dtype=np.uint8).astype(np.int64)
-            places = np.flatnonzero(~self.join[codes[:-1] * 256 + codes[1:]]) + 1
-            cut[w] = [raw[a:b] for a, b in zip([0, *places], [*places, len(raw)], strict=True)]
+            cut[w] = self._parts(raw)
         fresh = sorted({p for parts in cut.values() for p in parts if p not in self.parts})
-        single = [p for p in fresh if len(p) == 1]
-        self.parts |= {p: (int(self.byte_id[p[0]]),) for p in single}
-        rest = [p for p in fresh if len(p) > 1]
-        for i in range(0, len(rest), 20_000):
-            self._merge(rest[i : i + 20_000])
+        self.parts |= {p: (int(self.byte_id[p[0]]),) for p in fresh if len(p) == 1}
+        held: list[bytes] = []
+        room = QUERY_BYTES
+        for p in (p for p in fresh if len(p) > 1):
+            if held and len(p) > room:
+                self._merge(held)
+                held, room = [], QUERY_BYTES
+            held.append(p)
+            room -= len(p)
+        if held:
+            self._merge(held)
         for w, parts in cut.items():
             self.words[w] = tuple(chain.from_iterable(map(self.parts.__getitem__, parts)))
 
@@ -118,9 +159,15 @@ def _shown_bytes() -> dict[int, str]:
 
 
 @cache
-def worker_encoder(folder: str, name: str) -> WordEncoder:
+def worker_encoder(folder: str, name: str, spill: str = "") -> WordEncoder:
     """One encoder per Python worker process; workers are reused between tasks."""
-    return WordEncoder(folder, name)
+    return WordEncoder(folder, name, spill)
+
+
+def spill_folder(spark: SparkSession) -> str:
+    """The session's shared folder where it is a mounted one, else none: queries then stay in memory."""
+    at = urlparse(shared_dir(spark))
+    return at.path if at.scheme in ("", "file") else ""
 
 
 _split = regex.compile(PATTERN).findall
@@ -141,10 +188,10 @@ def encode_texts(texts: list[str | None], encoder: WordEncoder) -> tuple[np.ndar
 
 def token_ids(documents: DataFrame, key: str = "doc_id", folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>) for every row; no shuffle, one pass, memory bounded by an Arrow batch."""
-    kind = documents.schema[key].dataType.simpleString()
+    kind, spill = documents.schema[key].dataType.simpleString(), spill_folder(documents.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(folder, name)
+        encoder = worker_encoder(folder, name, spill)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -156,10 +203,11 @@ def token_ids(documents: DataFrame, key: str = "doc_id", folder: str = TOKENIZER
 
 def token_counts(documents: DataFrame, *keep: str, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """The kept columns and n_tokens of every row, by the same encoder; the ids never leave the Python worker."""
+    spill = spill_folder(documents.sparkSession)
     fields = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in keep)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(folder, name)
+        encoder = worker_encoder(folder, name, spill)
         sizes: dict[str, int] = {}
         for batch in batches:
             words = [_split(t) if t else [] for t in batch.column(batch.num_columns - 1).to_pylist()]
