@@ -8,7 +8,8 @@ recur among texts are boilerplate and are subtracted. A record is excluded if it
 
 A record made of recurrent lines alone keeps them: an error page is no less one for being served often. Lines that write about
 such things (an error that was counted, a tag that is explained) recur with other figures and go with the boilerplate; those that
-do not yet recur are told by their wording.
+do not yet recur are told by general signs: a report holds figures beside an error's own code, or does not begin with the message; a
+sentence that explains placeholders has words about notation.
 
 Defined results: null, empty and blank texts are never found; copies of a text count once for the line statistics; a null source
 is a host of its own; repeated doc_ids give one row.
@@ -96,15 +97,21 @@ votre texte ici|(?:ceci est |voici )?(?:un |du )?(?:faux[- ]texte|texte factice|
 su texto aquí|(?:este es )?(?:un )?texto de (?:relleno|ejemplo|prueba|muestra).{0,50}
 ここに(?:本文|テキスト|文章|タイトル|見出し)が入ります|ダミー(?:の)?(?:文章|テキスト|文)です|ダミーテキスト|この文章は(?:レイアウト|サンプル|ダミー).{0,16}|サンプル(?:の)?(?:文章|テキスト)です
 (?:นี่คือ|นี่เป็น)?ข้อความ(?:ตัวอย่าง|จำลอง|ทดสอบ|ชั่วคราว).{0,60}|ใส่(?:ข้อความ|เนื้อหา)(?:ของคุณ)?ที่นี่|เนื้อหาตัวอย่าง.{0,40}
-(?:यह )?(?:नमूना|उदाहरण|डमी|परीक्षण) (?:पाठ|टेक्स्ट|सामग्री).{0,50}|(?:अपना|आपका) (?:पाठ|टेक्स्ट|लेख) यहाँ.{0,20}|यहाँ (?:पाठ|टेक्स्ट) .{0,20}
+(?:यह )?(?:नमूना|उदाहरण|डमी|परीक्षण) (?:पाठ|टेक्स्ट|सामग्री).{0,50}|(?:अपना|आपका) (?:पाठ|टेक्स्ट|लेख) यहाँ.{0,20}|यहाँ (?:(?:अपना|आपका|नमूना|उदाहरण|डमी) )?(?:पाठ|टेक्स्ट|सामग्री) .{0,20}
 """
-# Wording of sentences that write about such things, and the quotation marks that hold a mentioned one.
-MENTION = re.compile(
-    r"「[^」]{2,40}」(?:的(?:訊息|比例|字樣|畫面|提示)|這類|一詞|字樣)|回應「|的比例由|訊息共出現|已完成檢討|主因是|已無此限制|步驟[一二三四五六七八九十\d]|為例|說明變數|這類字樣|排版規範"
-    r"|was logged|stands for the|were logged|was seen by|share of requests|during the drill|cause is known|traced it to|before step|as the manual explains|the new one|does not\.|bans dummy|such as [“\"{$\[]|as in \[|is swapped for|reads \$\{|before it opens|editor's remarks|editor’s remarks"
-    r"|wie (?:z\. B\. )?[„\"{$]|zum Beispiel [„{$]|tel(?:le)?s? que [«{$]|par exemple [«{$]|como [«{$]|por ejemplo,? [«{$]|という(?:表示|文言|メッセージ|エラー|文字列|記号)|ข้อความ“|जैसे “|नामक",
+# Words about notation itself, in the corpus's languages. A sentence with one of them explains its placeholders.
+NOTATION = re.compile(
+    r"\b(?:templates?|tags?|variables?|placeholders?|wildcards?|macros?|syntax|notation|format strings?|log format|shell|such as|for example|e\.g\. (?=\W)|stands? for|denotes?|(?:is|are) (?:replaced|swapped|substituted|expanded|filled in))\b"
+    r"|\b(?:Vorlagen?|Variablen?|Platzhaltern?|Platzhalter|Makros?|Syntax|Schreibweise|zum Beispiel|steht für|wird ersetzt|ersetzt wird)\b"
+    r"|\b(?:gabarits?|variables?|balises?|marqueurs?|macros?|syntaxe|par exemple|signifie|désigne|(?:est|sont) remplacée?s?)\b"
+    r"|\b(?:plantillas?|variables?|etiquetas?|marcador(?:es)?|macros?|sintaxis|por ejemplo|significa|se (?:sustituyen?|reemplazan?))\b"
+    r"|範本|模板|變數|变量|標籤|标签|佔位符|占位符|語法|语法|巨集|字串|記號|為例|例如|代換|替換|置換|取代為|代表|テンプレート|変数|タグ|プレースホルダ|構文|記法|マクロ|文字列|置き換え|たとえば|例えば"
+    r"|แม่แบบ|เทมเพลต|ตัวแปร|แท็ก|แทนที่|เช่น|टेम्पलेट|टेम्प्लेट|वेरिएबल|टैग|प्लेसहोल्डर|उदाहरण के लिए|जैसे ",
     re.I,
 )
+# What the number of an error follows. Other figures stand in sentences that count or number things: those report, they do not notify.
+_CODES = re.compile(r"(?:\b(?:code|id|ref|http|error|fehler|erreur|kennung|código|codigo|number|nr|no|proxy)|代碼|代码|追蹤碼|錯誤|エラー|コード|ข้อผิดพลาด|รหัส|कोड|त्रुटि)[\s:：.#(（-]{0,3}[\w-]*\d[\w./-]*", re.I)
+_ANY_FIGURE = re.compile(r"\d")
 
 
 def _compiled(lines: str) -> re.Pattern[str]:
@@ -254,11 +261,11 @@ def holes_of(line: str) -> int:
     """Unfilled placeholders of a line, without those of sentences that write about placeholders."""
     if not PLACEHOLDER.search(line):
         return 0
-    return sum(len(PLACEHOLDER.findall(s)) for s in _SENTENCES.split(line) if not MENTION.search(s))
+    return sum(len(PLACEHOLDER.findall(s)) for s in _SENTENCES.split(line) if not NOTATION.search(s))
 
 
 def evidence_of(line: str) -> tuple[int, int]:
-    """(characters of evidence, characters in all) of a line, sentence by sentence; mentions are no evidence.
+    """(characters of evidence, characters in all) of a line, sentence by sentence; reports are no evidence.
 
     A line that is evidence by two fifths is so as a whole: what is left of it are its polite closing words.
     """
@@ -269,8 +276,6 @@ def evidence_of(line: str) -> tuple[int, int]:
         if not s:
             continue
         total += len(s)
-        if MENTION.search(s):
-            continue
         if _signs(s) & 1 and ((m := _SORRY.match(s)) and (m.end() == len(s) or _known(s[m.end() :])) or _known(s)) or _empty_words(s):
             found += len(s)
     if len(set(line)) <= 12:
@@ -292,7 +297,15 @@ def _suspect(line: str) -> bool:
 
 
 def _known(sentence: str) -> bool:
-    return any(p.match(sentence) for _, p in _EVIDENCE)
+    """Whether a sentence is worded as evidence and does not report on it: a notice is made for any reader and any time, so it holds no
+    figures but those of its code; a report counts occurrences, names devices, steps or dates."""
+    figures = None
+    for kind, p in _EVIDENCE:
+        if m := p.match(sentence):
+            figures = figures if figures is not None else _CODES.sub(lambda c: "-" * len(c[0]), sentence)
+            if not _ANY_FIGURE.search(figures, 0 if kind == "script" else m.end()):
+                return True
+    return False
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,7 +327,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             rows, any_ = [], False
             for no, (x, m) in enumerate(zip(lines, marks, strict=True)):
-                furniture = _FURNITURE.fullmatch(x) is not None
+                furniture = _FURNITURE.fullmatch(x) is not None and not _known(x)
                 bits = 0 if furniture else _signs(x)
                 holes = holes_of(x) if bits & 2 else 0
                 proof, chars = (0, 0) if furniture else evidence_of(x) if bits & 1 or _suspect(x) else (0, len(x))
