@@ -74,7 +74,9 @@ def look(text: str) -> str:
     if not text.isascii():
         table = visible_table()
         text = unicodedata.normalize("NFC", _special().sub(lambda m: table[ord(m[0])] or "", text))
-    return _LINE_END.sub("", text)
+    if " \n" in text or "\t\n" in text or "\r" in text or text[-1:] in (" ", "\t"):
+        text = _LINE_END.sub("", text)
+    return text
 
 
 def fold(text: str) -> str:

@@ -1,14 +1,14 @@
 """Problem 4: noise in text from scanned pages: page furniture, divided words, misrecognised characters.
 
-Vocabulary. One pass over all pages counts words (scripts with spaces) and, for Chinese and Japanese, characters in three context
-windows. Candidates for a rare word come from intersecting an automaton of substitutions, merges and splits, the edits of recognition
-errors, with a trie over the vocabulary: no candidate of these edits is missed. One edit is tried freely; the confusions it teaches are
-then tried in one place for every two characters. Plain insertions and deletions, meant words with figures and single letters stay out. For scripts without spaces the word is the window
-and the edge is the substitution of its character. Which confusions a scan makes is learnt: a confusion counts once it is seen in
+Vocabulary. One pass over all pages counts words (scripts with spaces) and, for scripts without, characters in three context
+windows. Candidates for a rare word come from intersecting its Levenshtein automaton, with edges for merges and splits besides, with a
+trie over the vocabulary: no candidate is missed. One edit is tried freely; the confusions it teaches are then tried in one place for
+every two characters. A letter more or less at the end of a word is taken for inflection; meant words with figures and single letters
+stay out. For scripts without spaces the word is the window and the edge is the substitution of its character. Which confusions a scan makes is learnt: a confusion counts once it is seen in
 several words or contexts that are otherwise firm. Context ranks the candidates: a reading stands against one that is many times more
 frequent in the same surroundings.
 
-A second pass looks the learnt misreadings up again. What it may look up is shipped as a bitmap of fixed size, and the hits are joined
+A second pass looks the learnt misreadings up again. What it may look up is shipped as a bitmap of bounded size, and the hits are joined
 exactly, so nothing that grows with the corpus is broadcast or collected.
 
 Defined results: null and blank texts have no cases; every row of pdf_pages is judged on its own, duplicates included; lines that look
@@ -33,21 +33,25 @@ from leafmill.llm.encoding import _ANY_SEQUENCE, MARKS
 from leafmill.llm.lookalike import look
 from leafmill.session import cores_of, materialize
 
-#: A reading is doubted where another is this many times as frequent; firm contexts have this share of all windows, or this count at least.
-RATIO, FIRM_RATIO, FIRM_SHARE, FIRM_LEAST = 6, 20, 2e-5, 30
+#: A reading is doubted where another is this many times as frequent; firm contexts are met so often at least, at any size of the corpus.
+RATIO, FIRM_RATIO, FIRM_LEAST = 6, 20, 30
+#: Share of a character's firm contexts, by their size, in which a misreading of it must show.
+BREADTH = 0.15
 #: Distinct words in which a confusion of letters must be seen.
 CONFUSION_WORDS = 3
 #: Vocabulary words that one trie holds; a larger vocabulary is cut into several tries, and every query goes to each.
 TRIE_WORDS = 200_000
 #: Misreadings keep company: a confusion counts if this share of the pages that show it show another one, too.
 COMPANY = 0.4
-#: Bits of the bitmap of keys that the second pass looks up.
-BITMAP_BITS = 1 << 23
+#: Bits of the bitmap of keys that the second pass looks up: so many for a key, as a power of two between these (16 MB at most). A fuller
+#: bitmap lets more rows through to the exact join and changes no result.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 27
 
 _CJK = "぀-ゟ゠-ヿ㐀-䶿一-鿿"
+#: Scripts without spaces between words: their characters are looked at in windows.
+_HAS_WINDOWS = re.compile(f"[{_CJK}ก-๛]")
 _HAS_CJK = re.compile(f"[{_CJK}]")
-# Scripts that write vowels as combining marks have other words than runs of letters and are left out.
-_LETTER = r"[0-9A-Za-zª-ɏḀ-ỿ]"
+_LETTER = r"[0-9A-Za-zª-ɏḀ-ỿऀ-ॣ०-ॿ]"
 _WORD = re.compile(rf"{_LETTER}+(?:[!|$€£@§'’\-‐]{_LETTER}+)*")
 _DIVIDED = re.compile(rf"((?:(?![{_CJK}])[^\W\d_])[^\s¬\xad]*?)([-‐¬\xad])[ \t]*$")
 #: The rest of a divided word; a figure or sign may stand for its first letter.
@@ -59,7 +63,7 @@ WINDOWS = ((-2, -1, 1, 2), (1, 2, 3), (-3, -2, -1))
 
 # ---------------------------------------------------------------- furniture
 
-_AS_DIGITS = str.maketrans("OoIlSBZ|", "00115821"[:8])
+_AS_DIGITS = str.maketrans("OoIlSBZ|", "00115821")
 _ROMAN = re.compile(r"(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _NUM = r"[\dOoIlSBZ|]{1,5}"
 # How page numbers are set, in the corpus's languages.
@@ -69,12 +73,14 @@ _PAGE_NUMBER = re.compile(
 _BARE = re.compile(_NUM)
 _NUMBERED = re.compile(rf"(?P<head>.*?\D)(?:\s*[|·•–—/]\s*|\s*[.…‧·]{{2,}}\s*|\s{{2,}}|\t+)(?P<no>{_NUM})")
 _NUMBERED_FIRST = re.compile(rf"(?P<no>{_NUM})(?:\s*[|·•–—/]\s*|\s*[.…‧·]{{2,}}\s*|\s{{2,}}|\t+)(?P<head>\D.*)")
-_SENTENCE_END = re.compile(r"[.．。!！?？।;；:：,，、…」』”\"）)}｡]$")
-_NUMBER_LIKE = re.compile(r"[\dOoIlSBZ|]|^\s*[ivxlc]+\s*$")
+_SENTENCE_ENDS = frozenset(".．。!！?？।;；:：,，、…」』”\"）)}｡")
+_NUMBER_LIKE = re.compile(r"[\dOoIlSBZ|]|^[ivxlc]+$")
 _SENTENCE_INSIDE = re.compile(r"[。！？।]|[.!?] [A-ZÀ-Þ]|[，、；]")
 #: Scripts in which sentences may end without a mark.
 _MARKED_VOWELS = re.compile("[\u0900-\u0dff\u0e00-\u0eff]")
 _LISTED = re.compile(r"[–—•·□▪■*○●◦\-]\s|[(（]?\d|第\s?\d|[A-Za-z]+ \d+\b")
+#: Characters, runs of white space as one, that no page number of _PAGE_NUMBER exceeds; filled lines at the top and at the bottom of a page among which running headers and footers stand.
+PAGE_NUMBER_CHARS, EDGE_LINES = 24, 3
 CERTAIN, HEADER, WITH_NUMBER, CAPITALS, TITLE = 1, 2, 4, 8, 16
 
 
@@ -95,18 +101,24 @@ def header_key(line: str) -> str:
 def furniture_marks(lines: list[str], page: int | None, headings: set[str]) -> Iterator[tuple[int, int, str]]:
     """(index, flags, header key) of the lines that are page numbers, or may be running headers."""
     n, certain = len(lines), set()
-    top = next((i for i in range(n) if lines[i].strip()), n)
-    bottom = next((i for i in range(n - 1, -1, -1) if lines[i].strip()), -1)
-    for i, x in enumerate(lines):
-        line = x.strip()
-        if not line or len(line) > 24 or not _NUMBER_LIKE.search(x):
+    stripped = [x.strip() for x in lines]
+    top = next((i for i in range(n) if stripped[i]), n)
+    bottom = next((i for i in range(n - 1, -1, -1) if stripped[i]), -1)
+    for i, line in enumerate(stripped):
+        if len(line) > PAGE_NUMBER_CHARS:
+            if "  " not in line and "\t" not in line:
+                continue
+            line = " ".join(line.split())
+            if len(line) > PAGE_NUMBER_CHARS:
+                continue
+        if not line or not _NUMBER_LIKE.search(line):
             continue
         if _BARE.fullmatch(line):
             if any(c.isdigit() for c in line) and (i in (top, bottom) or page is not None and line.translate(_AS_DIGITS) == str(page)):
                 certain.add(i)
         elif _PAGE_NUMBER.fullmatch(line):
             certain.add(i)
-        elif len(line) <= 8 and line.islower() and _ROMAN.fullmatch(line) and (not any(map(str.strip, lines[: max(0, i - 1)])) or not any(map(str.strip, lines[i + 2 :]))):
+        elif len(line) <= 8 and line.islower() and _ROMAN.fullmatch(line) and (not any(stripped[: max(0, i - 1)]) or not any(stripped[i + 2 :])):
             certain.add(i)
     for i in sorted(certain):
         yield i, CERTAIN, ""
@@ -114,9 +126,9 @@ def furniture_marks(lines: list[str], page: int | None, headings: set[str]) -> I
     def filled(places) -> list[int]:
         found = []
         for i in places:
-            if i not in certain and lines[i].strip():
+            if stripped[i] and i not in certain:
                 found.append(i)
-                if len(found) == 3:
+                if len(found) == EDGE_LINES:
                     break
         return found
 
@@ -124,19 +136,23 @@ def furniture_marks(lines: list[str], page: int | None, headings: set[str]) -> I
     edges = {i: k for k, i in enumerate(foot)}
     edges |= {i: min(k, edges.get(i, k)) for k, i in enumerate(head)}
     many = len({*head, *foot}) > 2
-    widest = max((len(x) for i, x in enumerate(lines) if i not in certain), default=0)
+    widest = None
     for i, edge in edges.items():
-        line = lines[i].strip()
-        if line in headings or len(line) > 80:
+        line = stripped[i]
+        if len(line) > 80 or line in headings:
             continue
         m = _numbered(line)
         numbered = m is not None and page is not None and m["no"].translate(_AS_DIGITS) == str(page)
-        if not numbered and (edge > 1 or len(line) > 60 or _SENTENCE_END.search(line) or _LISTED.match(line) or _SENTENCE_INSIDE.search(line)):
+        if not numbered and (edge > 1 or len(line) > 60 or line[-1] in _SENTENCE_ENDS or _LISTED.match(line) or _SENTENCE_INSIDE.search(line)):
             continue
         if key := header_key(line):
             plain = not any(c.isdigit() for c in line)
             capital = plain and line.isupper() and len(line) >= 6
-            title = plain and edge == 0 and many and len(line) <= 40 and len(line) <= 0.7 * widest and not _MARKED_VOWELS.search(line) and not _garbled(line)
+            title = plain and edge == 0 and many and len(line) <= 40
+            if title:
+                if widest is None:
+                    widest = max((len(x) for i, x in enumerate(lines) if i not in certain), default=0)
+                title = len(line) <= 0.7 * widest and not _MARKED_VOWELS.search(line) and not _garbled(line)
             yield i, HEADER | WITH_NUMBER * numbered | CAPITALS * capital | TITLE * title, key
 
 
@@ -186,7 +202,7 @@ class PageReader:
 
     def __init__(self, text: str, page: int | None, headings) -> None:
         # Normalised line by line, so line numbers stay those of the text.
-        seen = text if text.isascii() else look(_SOFT_END.sub("¬", text))
+        seen = text if text.isascii() else look(_SOFT_END.sub("¬", text) if "\xad" in text else text)
         self.lines = seen.split("\n")
         self.garbled = {i for i, x in enumerate(text.split("\n")) if _garbled(x)} if _garbled(text) else set()
         self._divided: list[tuple[int, int, str, str, str]] | None = None
@@ -240,10 +256,10 @@ class PageReader:
                 yield i, w
 
     def flow(self) -> str | None:
-        """The lines run together as a reader reads them, without furniture, runs of figures as one; None without Chinese or Japanese."""
+        """The lines run together as a reader reads them, without furniture, runs of figures as one; None without a script that is looked at in windows."""
         drop = self.skip | self.garbled
         text = "".join([x.strip() or "\n" for i, x in enumerate(self.lines) if i not in drop]) if drop else "".join([x.strip() or "\n" for x in self.lines])
-        return f"\n\n\n{_DIGITS.sub('0', text)}\n\n\n" if _HAS_CJK.search(text) else None
+        return f"\n\n\n{_DIGITS.sub('0', text)}\n\n\n" if _HAS_WINDOWS.search(text) else None
 
     def owners(self) -> list[int]:
         """The line of every character of flow()."""
@@ -264,13 +280,13 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
 
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    """Places of gram keys in the bitmap; their low bits are a character, so they are mixed once more."""
-    return ((keys.view(np.uint64) * _HASH_A) >> np.uint64(64 - BITMAP_BITS.bit_length() + 1)).astype(np.int32)
+def _bits(keys: np.ndarray, size: int) -> np.ndarray:
+    """Places of gram keys in a bitmap of `size` bits, a power of two; their low bits are a character, so they are mixed once more."""
+    return ((keys.view(np.uint64) * _HASH_A) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def _is_cjk(points: np.ndarray) -> np.ndarray:
-    return (points >= 0x3041) & (points <= 0x30FF) | (points >= 0x3400) & (points <= 0x4DBF) | (points >= 0x4E00) & (points <= 0x9FFF)
+def _in_windows(points: np.ndarray) -> np.ndarray:
+    return (points >= 0x0E01) & (points <= 0x0E5B) | (points >= 0x3041) & (points <= 0x30FF) | (points >= 0x3400) & (points <= 0x4DBF) | (points >= 0x4E00) & (points <= 0x9FFF)
 
 
 COLUMNS = "kind string, key long, x int, n long, page_id long, line_no int, src_id long, flags int, a string, b string"
@@ -303,7 +319,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
         if texts:
             points = _points("".join(texts))
-            inner = np.flatnonzero(_is_cjk(points))
+            inner = np.flatnonzero(_in_windows(points))
             inner = inner[(inner >= 3) & (inner < len(points) - 3)]
             for shape, window in enumerate(WINDOWS):
                 grams, n = np.unique(_gram_keys(_context_keys(points, inner, window, shape), points[inner]), return_counts=True)
@@ -329,33 +345,40 @@ class Trie:
     def within(self, word: str, allowed: dict[str, set[str]] | None = None, edits: int = 1) -> Iterator[tuple[str, tuple[tuple[int, str, str], ...]]]:
         """(vocabulary word, edits as (place, read, meant)) for all that the automaton of the word accepts with one to `edits` edits.
 
-        Edges: a character read for another, two read for one (a merge undone), one read for two (a split undone); with `allowed` only
-        the confusions it lists.
+        Edges: a character read for another, one read where none is meant, one meant that was not read (these three make it the Levenshtein
+        automaton), two read for one (a merge undone), one read for two (a split undone); with `allowed` only the confusions it lists, the
+        empty string standing for no character.
         """
         yield from self._walk(self.root, "", word, 0, edits, (), allowed)
 
     def _walk(self, node: dict, meant: str, word: str, at: int, left: int, done: tuple, allowed) -> Iterator[tuple[str, tuple]]:
-        words, n = self.words, len(word)
-        for i in range(at, n):
-            one, two = word[i], word[i : i + 2]
-            tail_one, tail_two = word[i + 1 :], word[i + 2 :]
+        words, n, free = self.words, len(word), allowed is None
+        for i in range(at, n + 1):
+            one, two = word[i : i + 1], word[i : i + 2]
+            here, tail_one, tail_two = word[i:], word[i + 1 :], word[i + 2 :]
             head = meant + word[at:i]
+            before = word[i - 1] if i > at else ""
+            for_one, for_two, for_none = (None, None, None) if free else (allowed.get(one, ()), allowed.get(two, ()), allowed.get("", ()))
+            ways = []
+            # In a run of equal letters the first place stands for all.
+            if one and one != before and (free or "" in for_one):
+                ways.append(("", node, i + 1, tail_one, one))
             for c, child in node.items():
-                if c == one:
-                    continue
-                ways = []
-                if allowed is None or c in allowed.get(one, ()):
-                    ways.append((c, child, i + 1, tail_one, one))
-                if len(two) == 2 and c != two[1] and (allowed is None or c in allowed.get(two, ())):
-                    ways.append((c, child, i + 2, tail_two, two))
-                if tail_one or allowed is None:
-                    ways += [(c + d, grand, i + 1, tail_one, one) for d, grand in child.items() if d != one and (allowed is None or c + d in allowed.get(one, ()))]
-                for into, reached, rest, tail, read in ways:
-                    found = head + into + tail
-                    if found in words:
-                        yield found, (*done, (i, read, into))
-                    elif left > 1:
-                        yield from self._walk(reached, head + into, word, rest, left - 1, (*done, (i, read, into)), allowed)
+                if c != one:
+                    if one and (free or c in for_one):
+                        ways.append((c, child, i + 1, tail_one, one))
+                    if len(two) == 2 and c != two[1] and (free or c in for_two):
+                        ways.append((c, child, i + 2, tail_two, two))
+                    if one and (tail_one or free):
+                        ways += [(c + d, grand, i + 1, tail_one, one) for d, grand in child.items() if d != one and (free or c + d in for_one)]
+                if c != before and (free or c in for_none):
+                    ways.append((c, child, i, here, ""))
+            for into, reached, rest, tail, read in ways:
+                found = head + into + tail
+                if found in words and found != word:
+                    yield found, (*done, (i, read, into))
+                if left > 1:
+                    yield from self._walk(reached, head + into, word, rest, left - 1, (*done, (i, read, into)), allowed)
             node = node.get(one)
             if node is None:
                 return
@@ -396,7 +419,9 @@ def word_candidates(words: DataFrame, queries: DataFrame, allowed: dict[str, set
                             out += [(a, n, v, known[v], place, read, into, len(steps)) for place, read, into in steps]
                 yield pd.DataFrame(out, columns=["a", "n", "meant", "meant_n", "place", "read", "into", "edits"])
 
-        part_found = queries.mapInPandas(search, FOUND)
+        # Written before the next shard comes to the driver, so one shard at a time is held and broadcast.
+        part_found = materialize(queries.mapInPandas(search, FOUND), "word-candidates")
+        counts.destroy()
         found = part_found if found is None else found.unionByName(part_found)
     return found
 
@@ -408,11 +433,15 @@ def misread_words(words: DataFrame) -> DataFrame:
     queries = words.filter((F.length("a") >= 2) & (F.col("n") * RATIO <= most)).select("a", "n")
     # An edit reads two characters at most and no meant word holds a figure or sign, so three of them are never one edit.
     signs = F.length("a") - F.length(F.regexp_replace("a", r"[\d!|$€£@§]", ""))
-    single = materialize(word_candidates(words, queries.filter((F.length("a") >= 3) & (signs <= 2))), "word-candidates")
+    single = word_candidates(words, queries.filter((F.length("a") >= 3) & (signs <= 2)))
+    # A letter more or less at either end of a word is how words are inflected, a hyphen more or less how they are compounded: neither tells
+    # anything. A letter inside a word may be a misreading.
+    plain = (F.length("read") == 0) | (F.length("into") == 0)
+    inside = (F.col("place") > 0) & (F.col("place") + F.length("read") < F.length("a")) & ~F.concat("read", "into").rlike(r"['’\-‐]")
+    single = single.filter(~plain | inside)
     # A confusion: seen in several words; a figure or sign inside a word speaks for itself.
     learnt = single.groupBy("read", "into").agg(F.count_distinct("a").alias("words"), F.count_distinct("meant").alias("meanings"))
-    inside = F.col("read").rlike(r"[\d!|$€£@§]")
-    least = F.when(inside, 2).otherwise(CONFUSION_WORDS)
+    least = F.when(F.col("read").rlike(r"[\d!|$€£@§]"), 2).otherwise(CONFUSION_WORDS)
     learnt = learnt.filter((F.col("words") >= least) & (F.col("meanings") >= least)).select("read", "into", "words")
     learnt = materialize(learnt, "confusions")
     # A word may be misread in several places, and short ones too; the learnt confusions, pairs of one or two letters each, prune that search.
@@ -434,17 +463,18 @@ def misread_grams(grams: DataFrame) -> DataFrame:
 
     grams: key, x, n, flags (window). A context holds as many rows as characters stand in it, so its window is small.
     """
-    total = grams.filter("flags = 0").agg(F.sum("n")).first()[0] or 0
-    firm = max(FIRM_LEAST, int(total * FIRM_SHARE))
+    tops = materialize(grams.groupBy("key").agg(F.max(F.struct("n", "x")).alias("top"), F.count(F.lit(1)).alias("readings"), F.sum("n").alias("all_n")).filter(f"top.n >= {RATIO}"), "gram-tops")
     # Contexts with one reading only hold nothing to compare.
-    tops = grams.groupBy("key").agg(F.max(F.struct("n", "x")).alias("top"), F.count(F.lit(1)).alias("readings"), F.sum("n").alias("all_n")).filter(f"readings > 1 AND top.n >= {RATIO}")
-    pairs = grams.join(tops, "key").filter((F.col("x") != F.col("top.x")) & (F.col("top.n") >= RATIO * F.col("n")))
+    pairs = grams.join(tops.filter("readings > 1"), "key").filter((F.col("x") != F.col("top.x")) & (F.col("top.n") >= RATIO * F.col("n")))
     pairs = pairs.select("key", "flags", "x", "n", F.col("top.x").alias("meant"), F.col("top.n").alias("meant_n"), "all_n")
     pairs = materialize(pairs, "gram-pairs")
     # Firm evidence: frequent contexts in which hardly anything but the two characters is ever read.
-    clear = pairs.filter((F.col("meant_n") >= firm) & (F.col("meant_n") >= FIRM_RATIO * F.col("n")) & (F.col("meant_n") + F.col("n") >= 0.93 * F.col("all_n")))
-    learnt = clear.groupBy("x", "meant").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("contexts"), F.count_distinct("flags").alias("shapes"))
-    learnt = learnt.filter("contexts >= 3 AND shapes >= 2").select("x", "meant", "contexts")
+    clear = pairs.filter((F.col("meant_n") >= FIRM_LEAST) & (F.col("meant_n") >= FIRM_RATIO * F.col("n")) & (F.col("meant_n") + F.col("n") >= 0.93 * F.col("all_n")))
+    learnt = clear.groupBy("x", "meant").agg(F.sum("meant_n").alias("shown_n"), F.count(F.lit(1)).alias("contexts"), F.count_distinct("flags").alias("shapes"))
+    # A misreading hits a character wherever it stands: it shows in the contexts that make up a good part of the character's firm ones. Another
+    # word that fits a few contexts as well does not. Both are shares, so more text makes neither easier to reach.
+    everywhere = tops.filter(F.col("top.n") >= FIRM_LEAST).groupBy(F.col("top.x").alias("meant")).agg(F.sum("top.n").alias("firm_n"))
+    learnt = learnt.filter("contexts >= 3 AND shapes >= 2").join(everywhere, "meant").filter(F.col("shown_n") >= BREADTH * F.col("firm_n")).select("x", "meant", "contexts")
     # A character that is often put for one character is not also put for others: keep its strongest meaning, and near ones.
     strongest = Window.partitionBy("x")
     learnt = learnt.withColumn("_m", F.max("contexts").over(strongest)).filter("contexts * 4 >= _m").select("x", "meant")
@@ -455,13 +485,17 @@ def misread_grams(grams: DataFrame) -> DataFrame:
 
 
 def _second_pass(bits: bytes, centers: list[int]):
-    bitmap = np.unpackbits(np.frombuffer(bits, dtype=np.uint8))
+    n_bits = 8 * len(bits)
+    bitmap = np.frombuffer(bits, dtype=np.uint8)
     wanted = np.zeros(max([*centers, 0]) + 2, dtype=bool)
     wanted[centers] = True
     finds = re.compile("[" + "".join(map(re.escape, map(chr, centers))) + "]") if centers else None
 
     known: dict[str, int] = {}
 
+    def holds(h: int) -> bool:
+        return bool(bits[(h % n_bits) >> 3] >> (h & 7) & 1)
+
     def key_of(w: str) -> int:
         """The key of a word that the bitmap holds, else 0."""
         key = known.get(w)
@@ -469,7 +503,7 @@ def _second_pass(bits: bytes, centers: list[int]):
             if len(known) > 200_000:
                 known.clear()
             h = _hash(w.casefold())
-            key = known[w] = h if bitmap[h % BITMAP_BITS] and _is_word(w) else 0
+            key = known[w] = h if holds(h) and _is_word(w) else 0
         return key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -485,7 +519,7 @@ def _second_pass(bits: bytes, centers: list[int]):
                     out += [(page_id, i + 1, i + 1, 0, "w", _hash(w.casefold()), 0) for i, w in reader.words_by_line() if w in hits]
                 for i, j, w, size in reader.joined():
                     h = _hash(w.casefold())
-                    if bitmap[h % BITMAP_BITS]:
+                    if holds(h):
                         out.append((page_id, i + 1, j + 1, size, "w", h, 0))
                 if centered and (made := reader.flow()) is not None:
                     points = _points(made)
@@ -494,7 +528,8 @@ def _second_pass(bits: bytes, centers: list[int]):
                     owner = None
                     for shape, window in enumerate(WINDOWS):
                         context = _context_keys(points, at, window, shape)
-                        hit = bitmap[_bits(_gram_keys(context, points[at]))].astype(bool)
+                        place = _bits(_gram_keys(context, points[at]), n_bits)
+                        hit = (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
                         if hit.any():
                             owner = owner or reader.owners()
                             out += [(page_id, owner[a] + 1, owner[a] + 1, 0, "g", int(c), int(x)) for a, c, x in zip(at[hit], (context[hit] & _CONTEXT).view(np.int64), points[at][hit], strict=True)]
@@ -503,39 +538,35 @@ def _second_pass(bits: bytes, centers: list[int]):
     return run
 
 
-@F.pandas_udf(T.IntegerType())
-def _bit_of_word(a: pd.Series) -> pd.Series:
-    return a.map(lambda w: _hash(w) % BITMAP_BITS).astype("int32")
-
-
 @F.pandas_udf(T.LongType())
 def _key_of_word(a: pd.Series) -> pd.Series:
     return a.map(_hash)
 
 
-@F.pandas_udf(T.IntegerType())
-def _bit_of_gram(key: pd.Series, x: pd.Series) -> pd.Series:
-    return pd.Series(_bits(_gram_keys(key.to_numpy(np.int64).view(np.uint64), x.to_numpy().astype(np.uint64))))
+def _bitmap(words: DataFrame, grams: DataFrame) -> bytes:
+    """The bitmap of the keys of words (key) and grams (key, x): words of 64 bits, made per partition and merged; only those that are not empty come to the driver."""
+    keys = words.count() + grams.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * keys).bit_length()))
 
+    def packed(bits: np.ndarray) -> pd.DataFrame:
+        bits = np.unique(bits)
+        at, first = np.unique(bits >> 6, return_index=True)
+        held = np.left_shift(np.uint64(1), (bits & 63).astype(np.uint64))
+        return pd.DataFrame({"word": at.astype(np.int32), "bits": np.bitwise_or.reduceat(held, first).view(np.int64) if len(at) else held.view(np.int64)})
 
-def _bitmap(*bits: DataFrame) -> bytes:
-    """A bitmap of fixed size: made per partition and merged, so no task and not the driver holds more than one map at a time."""
+    def of_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield packed(pdf["key"].to_numpy(np.int64) % size)
 
-    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here = np.zeros(BITMAP_BITS, dtype=np.uint8)
+    def of_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            here[pdf["bit"].to_numpy()] = 1
-        words = np.packbits(here).view(np.int64)
-        at = np.flatnonzero(words)
-        yield pd.DataFrame({"word": at.astype(np.int32), "bits": words[at]})
+            yield packed(_bits(_gram_keys(pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["x"].to_numpy().astype(np.uint64)), size))
 
-    rows = None
-    for b in bits:
-        rows = b if rows is None else rows.unionByName(b)
-    merged = rows.mapInPandas(per_partition, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
-    words[merged["word"].to_numpy()] = merged["bits"].to_numpy()
-    return words.tobytes()
+    rows = words.select("key").mapInPandas(of_words, "word int, bits long").unionByName(grams.select("key", "x").mapInPandas(of_grams, "word int, bits long"))
+    merged = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    made = np.zeros(size // 64, dtype=np.int64)
+    made[merged["word"].to_numpy()] = merged["bits"].to_numpy()
+    return made.tobytes()
 
 
 def furniture_lines(first: DataFrame) -> DataFrame:
@@ -557,8 +588,10 @@ def furniture_lines(first: DataFrame) -> DataFrame:
         half = F.expr("array(concat('<', left(key, int(length(key) / 2))), concat('>', substring(key, int(length(key) / 2) + 1)))")
         return df.withColumn("half", F.explode(half)).withColumnRenamed("key", name)
 
-    near = halves(rest, "key").join(halves(keys.filter(F.length("key") >= 4), "header"), ["src_id", "half"])
-    near = near.filter(F.levenshtein("key", "header") <= F.greatest(F.lit(1), F.floor(F.length("header") / 8))).select("page_id", "line_no")
+    # Each reading once, however many pages of a source show it.
+    near = halves(rest.select("src_id", "key").distinct(), "key").join(halves(keys.filter(F.length("key") >= 4), "header"), ["src_id", "half"])
+    near = near.filter(F.levenshtein("key", "header") <= F.greatest(F.lit(1), F.floor(F.length("header") / 8))).select("src_id", "key").distinct()
+    near = rest.join(near, ["src_id", "key"], "left_semi").select("page_id", "line_no")
     return certain.unionByName(same).unionByName(near).distinct()
 
 
@@ -595,7 +628,7 @@ class Analysis:
         grams = materialize(self.first.filter("kind = 'g'").groupBy("key", "x", "flags").agg(F.sum("n").alias("n")), "grams")
         self.bad_words = materialize(misread_words(self.words).withColumn("key", _key_of_word("a")), "misread-words")
         self.bad_grams = materialize(misread_grams(grams), "misread-grams")
-        bits = _bitmap(self.bad_words.select(_bit_of_word("a").alias("bit")), self.bad_grams.select(_bit_of_gram("key", "x").alias("bit")))
+        bits = _bitmap(self.bad_words, self.bad_grams)
         # Characters that stand for others: a subset of the scripts' characters, whatever the size of the corpus.
         centers = sorted(r["x"] for r in self.bad_grams.select("x").distinct().toLocalIterator())
         hits = rows.select("page_id", "page", "headings", "text").mapInPandas(_second_pass(bits, centers), "page_id long, line_no int, rest_line int, split int, kind string, key long, x int")

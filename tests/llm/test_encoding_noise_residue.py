@@ -121,25 +121,36 @@ def test_repair_gives_paragraphs(spark):
     assert sum(w in known for w in words) >= 0.985 * len(words)
 
 
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _merged_or_split(read: str, meant: str) -> bool:
+    return any(read[:i] == meant[:i] and read[i + a :] == meant[i + b :] and len(read) - i >= a and len(meant) - i >= b for i in range(min(len(read), len(meant))) for a, b in ((2, 1), (1, 2)))
+
+
 def test_trie_finds_all_candidates():
-    """Against trying every vocabulary word."""
+    """Against the plain distance of every vocabulary word."""
     rng = random.Random(1)
     vocab = {"".join(rng.choice("abcm") for _ in range(rng.randrange(3, 7))): 100 for _ in range(300)}
     trie = noise.Trie(vocab)
-
-    def reachable(read, meant):
-        for i in range(min(len(read), len(meant))):
-            for a, b in ((1, 1), (2, 1), (1, 2)):
-                if read[:i] == meant[:i] and read[i + a :] == meant[i + b :] and len(read) - i >= a and len(meant) - i >= b and read[i] != meant[i]:
-                    yield True
-
-    for _ in range(200):
+    for _ in range(300):
         w = "".join(rng.choice("abcm") for _ in range(rng.randrange(3, 7)))
-        got = {v for v, _ in trie.within(w)}
-        want = {v for v in vocab if v != w and any(reachable(w, v))}
-        missed = want - got
-        # Edits whose second letter stays the same are single substitutions next to a letter that is there twice.
-        assert got <= want and all(abs(len(v) - len(w)) == 1 for v in missed)
+        assert {v for v, _ in trie.within(w)} == {v for v in vocab if v != w and (_distance(w, v) == 1 or _merged_or_split(w, v))}
+        two = {v for v, _ in trie.within(w, edits=2)}
+        assert two >= {v for v in vocab if v != w and _distance(w, v) <= 2}
+        for v, steps in trie.within(w, edits=2):
+            made, shift = w, 0
+            for place, read, into in steps:
+                assert made[place + shift : place + shift + len(read)] == read
+                made = made[: place + shift] + into + made[place + shift + len(read) :]
+                shift += len(into) - len(read)
+            assert made == v
 
 
 @pytest.mark.parametrize(
