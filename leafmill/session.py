@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
     "spark.sql.parquet.filterPushdown": "true",
+    # Small files are split over the cores, too; the default takes 4 MB for the least that is worth a task.
+    "spark.sql.files.openCostInBytes": "262144",
     "spark.ui.enabled": "false",
 }
 
@@ -53,24 +55,5 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df over all cores where its files give fewer partitions than there are cores; otherwise as it is, without a shuffle.
-
-    Meant for costly work per row on a small table. At scale the scan has more partitions than cores, and this does nothing.
-    """
-    cores = cores_of(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
-def size_of(spark: SparkSession, df: DataFrame) -> int:
-    """Bytes of a materialised table on disk, as the file listing reports them (no job is run)."""
-    total = 0
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        total += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    return total
-
-
 def cores_of(spark: SparkSession) -> int:
     return int(spark.sparkContext.defaultParallelism or os.cpu_count() or 1)
