@@ -45,7 +45,7 @@ TRIE_WORDS = 200_000
 COMPANY = 0.4
 #: Bits of the bitmap of keys that the second pass looks up: so many for a key, as a power of two between these (16 MB at most). A fuller
 #: bitmap lets more rows through to the exact join and changes no result.
-BITS_A_KEY, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 27
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 256, 1 << 23, 1 << 27
 
 _CJK = "぀-ゟ゠-ヿ㐀-䶿一-鿿"
 #: Scripts without spaces between words: their characters are looked at in windows.
@@ -508,7 +508,7 @@ def _second_pass(bits: bytes, centers: list[int]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, flows = [], []
             for page_id, page, headings, text in zip(pdf["page_id"], pdf["page"], pdf["headings"], pdf["text"], strict=True):
                 centered = finds is not None and finds.search(text) is not None
                 if not centered and not _LINE_MARK.search(text) and not any(map(key_of, set(_WORD.findall(text if text.isascii() else look(text))))):
@@ -522,17 +522,25 @@ def _second_pass(bits: bytes, centers: list[int]):
                     if holds(h):
                         out.append((page_id, i + 1, j + 1, size, "w", h, 0))
                 if centered and (made := reader.flow()) is not None:
-                    points = _points(made)
-                    at = np.flatnonzero(wanted[np.minimum(points, np.uint64(len(wanted) - 1))])
-                    at = at[(at >= 3) & (at < len(points) - 3)]
-                    owner = None
-                    for shape, window in enumerate(WINDOWS):
-                        context = _context_keys(points, at, window, shape)
-                        place = _bits(_gram_keys(context, points[at]), n_bits)
-                        hit = (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-                        if hit.any():
-                            owner = owner or reader.owners()
-                            out += [(page_id, owner[a] + 1, owner[a] + 1, 0, "g", int(c), int(x)) for a, c, x in zip(at[hit], (context[hit] & _CONTEXT).view(np.int64), points[at][hit], strict=True)]
+                    flows.append((page_id, reader, made))
+            if flows:
+                # The windows of all pages of the batch at once; the line ends around each page keep them apart.
+                points = _points("".join(made for _, _, made in flows))
+                begins = np.cumsum([0, *(len(made) for _, _, made in flows)])
+                at = np.flatnonzero(wanted[np.minimum(points, np.uint64(len(wanted) - 1))])
+                at = at[(at >= 3) & (at < len(points) - 3)]
+                owners: dict[int, list[int]] = {}
+                for shape, window in enumerate(WINDOWS):
+                    context = _context_keys(points, at, window, shape)
+                    place = _bits(_gram_keys(context, points[at]), n_bits)
+                    hit = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    pages = np.searchsorted(begins, at[hit], side="right") - 1
+                    for k, a, c, x in zip(pages.tolist(), (at[hit] - begins[pages]).tolist(), (context[hit] & _CONTEXT).view(np.int64).tolist(), points[at[hit]].tolist(), strict=True):
+                        page_id, reader, _ = flows[k]
+                        if k not in owners:
+                            owners[k] = reader.owners()
+                        line = owners[k][a] + 1
+                        out.append((page_id, line, line, 0, "g", c, x))
             yield pd.DataFrame(out, columns=["page_id", "line_no", "rest_line", "split", "kind", "key", "x"])
 
     return run
