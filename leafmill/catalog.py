@@ -1,6 +1,6 @@
 """Queries of the core and their DuckDB SQL."""
 
-from leafmill.plans import documents, relational, streams
+from leafmill.plans import documents, relational, reviews, streams
 
-QUERIES: dict = {**documents.QUERIES, **relational.QUERIES, **streams.QUERIES}
-ORACLES: dict = {**documents.ORACLES, **relational.ORACLES, **streams.ORACLES}
+QUERIES: dict = {**documents.QUERIES, **reviews.QUERIES, **relational.QUERIES, **streams.QUERIES}
+ORACLES: dict = {**documents.ORACLES, **reviews.ORACLES, **relational.ORACLES, **streams.ORACLES}

@@ -168,18 +168,34 @@ def quote_match_ratio(quote: Column, page: Column) -> Column:
     return F.when((n > 0) & (F.length(page) > 0), ratio.otherwise(0.0)).otherwise(0.0)
 
 
+def overlap_of(candidate: str | None, source: str | None, window: int) -> float:
+    """The share of one text; see verbatim_overlap. Runs of the source are looked up by their hash and compared where it is met."""
+    n = len(candidate or "")
+    if n < window or not source:
+        return 0.0
+    met = {hash(source[i : i + window]) for i in range(len(source) - window + 1)}
+    at = hits = 0
+    while at <= n - window:
+        run = candidate[at : at + window]
+        if hash(run) in met and run in source:
+            hits += window
+            at += window
+        else:
+            at += 1
+    return min(1.0, hits / n)
+
+
 def verbatim_overlap(candidate: Column, source: Column, window: int = 30) -> Column:
-    """Share of a text covered by runs of `window` characters that stand in the source; a hit jumps over its run, a miss by one."""
-    n = F.length(candidate)
-    zero = F.array(F.lit(0), F.lit(0))
+    """Share of a text covered by runs of `window` characters that stand in the source; a hit jumps over its run, a miss by one. 0 for a null text.
+
+    The jumps depend on what was found before, so this is a walk, in Arrow batches; it takes time in proportion to both texts.
+    """
 
-    def step(acc, i):
-        at, hits = F.get(acc, F.lit(0)), F.get(acc, F.lit(1))
-        here = (i == at) & F.contains(source, F.substring(candidate, i + 1, F.lit(window)))
-        return F.when(i < at, acc).when(here, F.array((i + window).cast("int"), (hits + window).cast("int"))).otherwise(F.array((i + 1).cast("int"), hits.cast("int")))
+    @F.pandas_udf("double")
+    def share(c: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([overlap_of(x, y, window) for x, y in zip(c, s, strict=True)], dtype="float64")
 
-    covered = F.get(F.aggregate(F.sequence(F.lit(0), n - window), zero, step), F.lit(1))
-    return F.when(n >= window, F.least(F.lit(1.0), covered / n)).otherwise(0.0)
+    return share(candidate, source)
 
 
 def subtitle_cues(text: Column, most: int = 22) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.operators.sequence import running_sum
+from leafmill.operators.sequence import numbered, running_sum
 
 # Seconds, and priority, of each kind of scene; the rank of an importance.
 SECONDS = {"cover": 12.0, "section_intro": 14.0, "deadline_timeline": 28.0, "penalty_table": 28.0, "checklist": 26.0, "risk_warning": 24.0, "do_dont": 22.0, "recap_card": 18.0, "paragraph_card": 22.0, "source_crop": 22.0, "key_number": 18.0, "source_visual_explainer": 26.0, "figure_explainer": 28.0, "comparison_visual_card": 28.0, "process_visual_card": 28.0, "source_table_explainer": 28.0, "source_screenshot_explainer": 28.0}
@@ -34,13 +34,12 @@ def trimmed(scenes: DataFrame, group: str, most: float, least_rows: int = 3) ->
     """Scenes that stay when the lowest scores go until a group is within its length, or down to least_rows.
 
     The loop "drop the lowest while too long" has a closed form over the order of dropping: row k goes if what is left after the rows
-    before it is still too long and too many. scenes: group, seq, seconds, score, kind. Scores are small integers, so the order (score, seq)
-    is packed in one integer, and the running sums are made block by block.
+    before it is still too long and too many. scenes: group, seq, seconds, score, kind. The running sums are made block by block.
     """
     totals = scenes.groupBy(group).agg(F.sum("seconds").alias("_total"), F.count(F.lit(1)).alias("_rows"))
-    open_kinds = scenes.filter(~F.coalesce(F.lower("kind"), F.lit("")).isin(KEPT_KINDS)).withColumn("_order", F.col("score").cast("long") * 2**32 + F.col("seq"))
-    sums = running_sum(open_kinds, [group], "_order", F.col("seconds"), "_gone")
-    sums = running_sum(sums, [group], "_order", F.lit(1), "_dropped")
+    open_kinds = scenes.filter(~F.coalesce(F.lower("kind"), F.lit("")).isin(KEPT_KINDS))
+    sums = running_sum(open_kinds, [group], ["score", "seq"], F.col("seconds"), "_gone")
+    sums = running_sum(sums, [group], ["score", "seq"], F.lit(1), "_dropped")
     gone = sums.join(totals, group).filter((F.col("_total") - F.col("_gone") > most) & (F.col("_rows") - F.col("_dropped") > least_rows)).select(group, "seq")
     return scenes.join(gone, [group, "seq"], "left_anti")
 
@@ -58,6 +57,20 @@ def padding(items: DataFrame, totals: DataFrame, group: str, least: float, goal:
     return slots.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= F.col("_room")).select(group, "slot", "seq", "item")
 
 
+def inserted(scenes: DataFrame, slots: DataFrame, group: str) -> DataFrame:
+    """group, seq, item, place: scenes (item -1) and behind each its extra cards, numbered anew block by block. scenes: group, seq; slots: group, seq, item."""
+    rows = scenes.select(group, "seq", F.lit(-1).alias("item")).unionByName(slots.select(group, "seq", "item"))
+    return numbered(rows, group, ["seq", "item"], "place")
+
+
+def selection_report(scenes: DataFrame, slots: DataFrame, group: str, least: float, extra: float = EXTRA_SECONDS) -> DataFrame:
+    """group, base_scenes, expansions, capacity, seconds, under_target. scenes: group, seconds, capacity; slots: group."""
+    base = scenes.groupBy(group).agg(F.count(F.lit(1)).alias("base_scenes"), F.sum("capacity").cast("long").alias("capacity"), F.sum("seconds").alias("_s"))
+    rows = base.join(slots.groupBy(group).agg(F.count(F.lit(1)).alias("expansions")), group, "left").na.fill(0, ["expansions"])
+    rows = rows.withColumn("seconds", F.col("_s") + extra * F.col("expansions"))
+    return rows.select(group, "base_scenes", "expansions", "capacity", "seconds", (F.col("seconds") < least).alias("under_target"))
+
+
 def timeline(scenes: DataFrame, group: str, order: str, seconds: str) -> DataFrame:
     """scenes with start_sec: the sum of what comes before in the group."""
     return running_sum(scenes, [group], order, F.coalesce(seconds, F.lit(0)), "start_sec")

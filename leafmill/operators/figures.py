@@ -44,7 +44,7 @@ def salience(role: Column, area: Column, pixels: Column, caption: Column, headin
     return F.greatest(F.lit(0.0), score)
 
 
-def inventory(images: DataFrame, pages: DataFrame) -> DataFrame:
+def inventory(images: DataFrame, pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Images with the role, use and salience that the page around them gives. Images without a page are left out.
 
     A logo repeats on many pages: its count is a partial aggregate joined back, not a window over the copies.
@@ -65,7 +65,7 @@ def inventory(images: DataFrame, pages: DataFrame) -> DataFrame:
     useful = ~F.col("is_decorative") & ~F.col("visual_role").isin(DECORATIVE_ROLES) & ((F.col("area") >= 0.045) | (F.col("pixel_count") >= 90000) | (F.length("caption") > 0))
     rows = rows.withColumn("likely_useful", useful)
     score = salience(F.col("visual_role"), F.col("area"), F.col("pixel_count"), F.col("caption"), F.coalesce("heading", F.lit("")), F.col("repeated"), F.col("is_decorative"))
-    return rows.withColumn("salience_milli", F.floor(score * 1000 + 0.5).cast("long")).select("image_id", "src_id", "page", "pixel_count", "caption", "visual_role", "is_decorative", "likely_useful", "repeated", "salience_milli", F.floor(F.col("area") * 10000 + 0.5).cast("long").alias("area_e4"))
+    return rows.withColumn("salience_milli", F.floor(score * 1000 + 0.5).cast("long")).select("image_id", "src_id", "page", "pixel_count", "caption", "visual_role", "is_decorative", "likely_useful", "repeated", "salience_milli", F.floor(F.col("area") * 10000 + 0.5).cast("long").alias("area_e4"), *keep)
 
 
 def page_candidates(pages: DataFrame, useful: DataFrame, most: int = 60) -> DataFrame:
@@ -125,19 +125,19 @@ def best_figures(scored: DataFrame, least_milli: int = 3000) -> DataFrame:
     return fit.groupBy("passage_id").agg(best.alias("b")).select("passage_id", "b.image_id", "b.score_milli")
 
 
-def spread_figures(scored: DataFrame, least_milli: int = 3000, penalty_milli: int = 700, rounds: int = 12) -> DataFrame:
+def spread_figures(scored: DataFrame, least_milli: int = 3000, penalty_milli: int = 700) -> DataFrame:
     """passage_id, image_id: greedy assignment in passage order, each use of a figure costing its next users a penalty.
 
     What a passage chooses depends on earlier passages only through the figures they share. In each round every passage chooses with the
-    uses that earlier passages would make by their last choices; passages whose earlier rivals no longer change are settled. Once a
-    round changes nothing, the choices are those of the sequential procedure. Rows are (passage, figure) pairs of neighbouring pages; a
+    uses that earlier passages would make by their last choices; passages whose earlier rivals no longer change are settled, at least one
+    of every chain of rivals in a round, so this ends. Once a round changes nothing, the choices are those of the sequential procedure. Rows are (passage, figure) pairs of neighbouring pages; a
     figure is near a few passages only, so the window over it is short.
     """
     from leafmill.session import materialize
 
     pairs = materialize(scored, "figure-pairs")
     choice = None
-    for _ in range(rounds):
+    while True:
         if choice is None:
             used = pairs.withColumn("uses", F.lit(0))
         else:
@@ -149,7 +149,56 @@ def spread_figures(scored: DataFrame, least_milli: int = 3000, penalty_milli: in
         if choice is not None and chosen.join(choice, ["passage_id", "image_id"], "left_anti").isEmpty() and choice.join(chosen, ["passage_id", "image_id"], "left_anti").isEmpty():
             return chosen
         choice = chosen
-    return choice
+
+
+# Words of a procedure, and what the screen calls out by role and by words.
+PROCEDURE_WORDS = ["步驟", "流程", "三部曲", "設定", "調整", "workflow", "step"]
+CALLOUTS = {"source_table": ["先看欄位", "找關鍵列"], "source_screenshot": ["看按鈕位置", "留意設定值"], "source_chart": ["看分布方向", "找異常區段"], "source_diagram": ["先看流程", "再看因果"]}
+OTHER_CALLOUTS = ["觀察主體", "注意差異"]
+WORD_CALLOUTS = [(["光圈", "景深"], "景深變化"), (["快門"], "動作感"), (["iso", "感光度"], "雜訊與亮度"), (["白平衡"], "色溫偏移")]
+
+
+def scene_kind_of(role: Column, blob: Column) -> Column:
+    """The kind of scene that a figure makes; blob: what stands around it, in lower case."""
+    kind = F.when(role == "source_table", "source_table_explainer").when(role == "source_screenshot", "source_screenshot_explainer")
+    return kind.when(holds_any(blob, PROCEDURE_WORDS), "process_visual_card").when(role.isin("source_diagram", "source_chart"), "figure_explainer").otherwise("source_visual_explainer")
+
+
+def callouts_of(role: Column, blob: Column, most: int = 4) -> Column:
+    """What the screen calls out, by role and then by words around the figure."""
+    words = lambda w: F.array(*map(F.lit, w))
+    by_role = F.lit(None).cast("array<string>")
+    for name, told in CALLOUTS.items():
+        by_role = F.when(role == name, words(told)).otherwise(by_role)
+    more = F.array_compact(F.array(*(F.when(holds_any(blob, w), told) for w, told in WORD_CALLOUTS)))
+    return F.slice(F.concat(F.coalesce(by_role, words(OTHER_CALLOUTS)), more), 1, most)
+
+
+def selected_visuals(candidates: DataFrame, desired: int) -> DataFrame:
+    """src_id, rank, page, topic, place: figures in the order of rank, one of a page, of new topics only once half of the places are taken;
+    places that stay free go to the first of the others.
+
+    candidates: src_id, rank (from 1, by page), page, topic. The first half are the first figures of the first pages. From then on a choice
+    rules out others by page and by topic, so each further place is one round: the least rank of each source that nothing chosen rules
+    out, by a partial aggregate. The chosen of a source are `desired` at most and travel as arrays.
+    """
+    from leafmill.session import materialize
+
+    rows = materialize(candidates.select("src_id", "rank", "page", "topic"), "visual-candidates")
+    half = desired // 2
+    firsts = rows.groupBy("src_id", "page").agg(F.min("rank").alias("rank"))
+    early = firsts.withColumn("_p", F.row_number().over(Window.partitionBy("src_id").orderBy("rank"))).filter(F.col("_p") <= half).select("src_id", "rank")
+    chosen = materialize(rows.join(early, ["src_id", "rank"]), "visual-chosen")
+    for _ in range(desired - half):
+        taken = chosen.groupBy("src_id").agg(F.collect_set("page").alias("_pages"), F.collect_set("topic").alias("_topics"), F.count(F.lit(1)).alias("_n"))
+        open_ = rows.join(taken.filter(F.col("_n") >= half), "src_id").filter(~F.array_contains("_pages", F.col("page")) & ~F.array_contains("_topics", F.col("topic")))
+        more = materialize(open_.groupBy("src_id").agg(F.min_by(F.struct("rank", "page", "topic"), "rank").alias("c")).select("src_id", "c.*"), "visual-chosen")
+        if more.isEmpty():
+            break
+        chosen = chosen.unionByName(more)
+    marked = rows.join(chosen.select("src_id", "rank", F.lit(0).alias("_late")), ["src_id", "rank"], "left").na.fill(1, ["_late"])
+    order = Window.partitionBy("src_id").orderBy("_late", "rank")
+    return marked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= desired).select("src_id", "rank", "page", "topic", "place")
 
 
 def source_path(crop: Column, image: Column, page_render: Column) -> Column:

@@ -16,18 +16,20 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def running_sum(rows: DataFrame, group: list[str], order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
-    """rows with the exclusive running sum of value within group, in the order of an integer column. Ties share their sum's start.
+def running_sum(rows: DataFrame, group: list[str], order: str | list[str], value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """rows with the exclusive running sum of value within group, in the order of one or more columns, the last an integer. Ties share their sum's start.
 
     One shuffle by (group, block) serves both the sums of the blocks and the windows inside them; the windows over the blocks see one row
-    per block.
+    per block. A block is a stretch of the last column within equal values of those before it.
     """
-    rows = rows.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_value", value)
-    sums = rows.groupBy(*group, "_block").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    *leading, last = [order] if isinstance(order, str) else order
+    blocks = [*leading, "_block"]
+    rows = rows.withColumn("_block", F.floor(F.col(last) / block)).withColumn("_value", value)
+    sums = rows.groupBy(*group, *blocks).agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*group).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*group, "_block").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
-    return rows.join(offsets, [*group, "_block"]).withColumn(name, F.col("_offset") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_block", "_value", "_offset")
+    inside = Window.partitionBy(*group, *blocks).orderBy(last).rangeBetween(Window.unboundedPreceding, -1)
+    return rows.join(offsets, [*group, *blocks]).withColumn(name, F.col("_offset") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_block", "_value", "_offset")
 
 
 def page_islands(rows: DataFrame, group: str, order: str) -> DataFrame:

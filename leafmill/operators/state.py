@@ -55,3 +55,33 @@ def retry_numbers(attempts: DataFrame, key: str, order: str, most: int) -> DataF
     """attempts with attempt_no and given_up: failed for the last permitted time. Attempts of one key are few by contract (most)."""
     numbered = attempts.withColumn("attempt_no", F.row_number().over(Window.partitionBy(key).orderBy(order)))
     return numbered.withColumn("given_up", (F.col("attempt_no") > most) & (F.col("status") == "failed"))
+
+
+def summary(rows: DataFrame, key: str, states: list[str], at: str) -> DataFrame:
+    """key, total, a count per state, last_at."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in states), F.max(at).alias("last_at"))
+
+
+def listed(rows: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """Rows that equal every value that is given; a None asks nothing. The filters reach the scan."""
+    for column, value in wanted.items():
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    return rows
+
+
+def with_copies(rows: DataFrame, content: str) -> DataFrame:
+    """rows with same_content: how many have the same content hash, as a partial aggregate joined back; a null hash is content of its own kind."""
+    n = rows.groupBy(F.col(content).alias("_c")).agg(F.count(F.lit(1)).alias("same_content"))
+    return rows.join(n, F.col(content).eqNullSafe(F.col("_c"))).drop("_c")
+
+
+def chained_hash(upstream: Column, *settings: Column) -> Column:
+    """SHA-256 of the upstream hash and the settings; nulls count as empty."""
+    return F.sha2(F.concat_ws("␟", *(F.coalesce(c, F.lit("")) for c in (upstream, *settings))), 256)
+
+
+def reset_failed(rows: DataFrame) -> DataFrame:
+    """rows with failed ones pending again and their retries at 0."""
+    failed = F.coalesce(F.col("status") == "failed", F.lit(False))
+    return rows.withColumns({"retries": F.when(failed, 0).otherwise(F.col("retries")), "status": F.when(failed, "pending").otherwise(F.col("status"))})

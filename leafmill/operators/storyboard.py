@@ -173,3 +173,13 @@ def comparison_pairs(candidates: DataFrame, group: str, words: list[str] = CONTR
     runs = page_islands(near.select(group, "idx"), group, "idx")
     starts = runs.select(group, F.explode(F.sequence("first", "last", F.lit(2).cast("long"))).alias("idx"))
     return near.join(starts, [group, "idx"]).select(group, F.col("id").alias("left_id"), "right_id")
+
+
+def first_facts(items: DataFrame, facts: DataFrame) -> DataFrame:
+    """Items that have a value, with label and quote of the first fact of their page with that value; null where there is none.
+
+    items: src_id, scene_kind, slot, ordinal, page_id, value; facts: page_id, pattern_no, start, value, label, quote. First by pattern and
+    place, as a partial aggregate before the join.
+    """
+    first = facts.groupBy("page_id", "value").agg(F.min_by(F.struct("label", "quote"), F.struct("pattern_no", "start")).alias("f"))
+    return items.filter(F.length("value") > 0).join(first, ["page_id", "value"], "left").select("src_id", "scene_kind", "slot", "ordinal", "page_id", "value", "f.label", "f.quote")

@@ -182,9 +182,22 @@ def key_numbers(spark, d):
     return f.withColumn("rank", rank).filter("rank <= 6").select("page_id", "label", "value", "context", "rank")
 
 
-CONDITIONS = (r"(\p{Nd}+[\s]*(?:-|~|–|—|至)[\s]*\p{Nd}+[\s]*(?:天|日)(?:以上|以內|內|前)?)", r"(\p{Nd}+[\s]*(?:天|日)(?:以上|以內|內|前))", r"(未達\p{Nd}+件)")
-VALUES = (r"(\p{Nd}{1,3}(?:\.\p{Nd}+)?[\s]*%)", r"(\p{Nd}+日內)", r"(不予受理|不予退款)")
-CONDITION_WORDS = "違約 賠償 逾期 費用 不予受理 penalty refund".split()
+# What a condition and a value look like, most specific first, and the words of sentences that state them.
+CONDITIONS = (
+    rf"((?:郵輪|旅遊)?出發前{WS}*\p{{Nd}}+{WS}*(?:-|~|–|—|至){WS}*\p{{Nd}}+{WS}*(?:天|日)(?:以上|以內|內|前)?)",
+    rf"((?:郵輪|旅遊)?出發前{WS}*\p{{Nd}}+{WS}*(?:天|日)(?:（含{WS}*\p{{Nd}}+{WS}*(?:天|日)內）)?(?:以上|以內|內|前)?)",
+    rf"(\p{{Nd}}+{WS}*(?:-|~|–|—|至){WS}*\p{{Nd}}+{WS}*(?:天|日)(?:以上|以內|內|前)?)",
+    rf"(\p{{Nd}}+{WS}*(?:天|日)(?:以上|以內|內|前))",
+)
+VALUES = (
+    "(全額訂(?:金|⾦))",
+    rf"(全額(?:船艙|艙房|團費)?費用之{WS}*\p{{Nd}}{{1,3}}(?:\.\p{{Nd}}+)?{WS}*%)",
+    rf"(\p{{Nd}}{{1,3}}(?:\.\p{{Nd}}+)?{WS}*%)",
+    rf"((?:NT\$|NTD|新台幣|新臺幣|台幣|臺幣){WS}*\$?{WS}*[\p{{Nd}},]+(?:\.\p{{Nd}}+)?{WS}*(?:元|圓)?)",
+    rf"(\p{{Nd}}{{1,3}}(?:,\p{{Nd}}{{3}})+{WS}*(?:元|圓|塊))",
+    "(不予退款|恕不退還|無退費義務|不得要求[^，。；;]*退[^，。；;]*|恕無法更動[^，。；;]*|無法更動[^，。；;]*)",
+)
+CONDITION_WORDS = storyboard.PENALTY
 
 
 def _first_sql(patterns, x="s[n]") -> str:
@@ -526,14 +539,17 @@ def storyboard_scenes(spark, d):
 _TOPIC = f"SELECT src_id, page, row_number() OVER (PARTITION BY src_id ORDER BY page, salience_milli DESC, image_id) AS rank, substring(coalesce(nullif(caption, ''), visual_role), 1, 18) AS topic FROM (SELECT *, floor(score * 1000 + 0.5)::BIGINT AS salience_milli FROM u WHERE likely_useful)"
 
 
-@query(INVENTORY_SQL + f", tc AS ({_TOPIC}), tf AS (SELECT *, rank = min(rank) OVER (PARTITION BY src_id, topic) AS first FROM tc), tk AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY rank) AS place FROM tf WHERE rank <= 3 OR first) SELECT DISTINCT src_id, page FROM tk WHERE place <= 6")
-def topic_anchors(spark, d):
-    from pyspark.sql import Window
-
+def _topics(spark, d):
+    """Useful figures of each source in the order of their pages, numbered block by block, with a topic."""
     inv = figures.inventory(table(spark, d, "pdf_images"), table(spark, d, "pdf_pages")).filter("likely_useful")
-    rank = F.row_number().over(Window.partitionBy("src_id").orderBy("page", F.col("salience_milli").desc(), "image_id"))
     topic = F.substring(F.coalesce(F.when(F.length("caption") > 0, F.col("caption")), F.col("visual_role")), 1, 18)
-    return storyboard.topic_anchors(inv.select("src_id", "page", rank.alias("rank"), topic.alias("topic")), 6)
+    rows = inv.select("src_id", "page", "image_id", (-F.col("salience_milli")).alias("_less"), topic.alias("topic"))
+    return sequence.numbered(rows, "src_id", ["page", "_less", "image_id"], "rank", block=16)
+
+
+@query(INVENTORY_SQL + f", tc AS ({_TOPIC}), tf AS (SELECT *, rank = min(rank) OVER (PARTITION BY src_id, topic) AS first FROM tc), tk AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY rank) AS place FROM tf WHERE rank <= 3 OR first) SELECT DISTINCT src_id, page FROM tk WHERE place <= 6")
+def topic_anchors(spark, d):
+    return storyboard.topic_anchors(_topics(spark, d), 6)
 
 
 @query("WITH t AS (SELECT src_id, page_id, page_id AS seq, trim(list_extract(string_split(h, '·'), -1)) AS b FROM (SELECT src_id, page_id, headings[1] AS h FROM pdf_pages WHERE len(headings) > 0) WHERE length(trim(list_extract(string_split(h, '·'), -1))) > 0), g AS (SELECT src_id, b, min(seq) AS seq, arg_min(page_id, seq) AS page_id FROM t GROUP BY 1, 2) SELECT src_id, ordinal::INTEGER AS ordinal, substring(b, 1, 24) AS text, page_id FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY seq) AS ordinal FROM g) WHERE ordinal <= 5")
@@ -554,7 +570,5 @@ def recap_places(spark, d):
 def comparison_pairs(spark, d):
     """Neighbouring images whose captions name two things."""
     images = table(spark, d, "pdf_images").select("src_id", F.col("image_id").alias("id"), "page", F.coalesce("caption_hint", F.lit("")).alias("blob"))
-    from pyspark.sql import Window
-
-    placed = images.withColumn("idx", F.row_number().over(Window.partitionBy("src_id").orderBy("page", "id")).cast("long"))
+    placed = sequence.numbered(images, "src_id", ["page", "id"], "idx", block=16)
     return storyboard.comparison_pairs(placed, "src_id", [*storyboard.CONTRAST, "與", "and"])

@@ -38,6 +38,12 @@ def stream_deduplicated(spark, d):
 
 @query("SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def stream_running_counts(spark, d):
-    """The last state of every user."""
-    rows = jobs.run_available(jobs.running_counts(jobs.event_stream(spark, d)), "update")
-    return rows.groupBy("user_id").agg(F.max("n").alias("n"))
+    """The last state of every user, over all batches."""
+    return jobs.run_available(jobs.running_counts(jobs.event_stream(spark, d)), "update", keys=["user_id"])
+
+
+@query("""WITH o AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE AS opens FROM events), n AS (SELECT user_id, ts, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM o)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*)::BIGINT AS n FROM n GROUP BY user_id, no""")
+def stream_sessions(spark, d):
+    """All sessions, closed or not."""
+    return jobs.run_available(jobs.streamed_sessions(jobs.event_stream(spark, d)), "complete")

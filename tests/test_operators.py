@@ -89,7 +89,23 @@ def test_assignment_equals_the_sequential_procedure(spark):
             uses[best] = uses.get(best, 0) + 1
             want.append((p, best))
     df = spark.createDataFrame([(p, 1, i, s) for p, i, s in pairs], "passage_id long, src_id long, image_id string, score_milli long")
-    assert rows(figures.spread_figures(df, rounds=60)) == sorted(want)
+    assert rows(figures.spread_figures(df)) == sorted(want)
+
+
+def test_a_long_chain_of_rivals_is_settled(spark):
+    """Each passage's choice hangs on the one before it: far more rounds than a dozen."""
+    pairs = [(p, f"i{p + k:03d}", 4000 - 100 * k) for p in range(25) for k in range(2)]
+    pairs = [(p, i, s if (p, i) != (0, "i000") else 2000) for p, i, s in pairs]
+    uses, want = {}, []
+    for p in range(25):
+        scored = [(-(s - 700 * uses.get(i, 0)), i) for q, i, s in pairs if q == p and s - 700 * uses.get(i, 0) >= 3000]
+        if scored:
+            _, best = min(scored)
+            uses[best] = uses.get(best, 0) + 1
+            want.append((p, best))
+    assert len({i for _, i in want}) == 25
+    df = spark.createDataFrame([(p, 1, i, s) for p, i, s in pairs], "passage_id long, src_id long, image_id string, score_milli long")
+    assert rows(figures.spread_figures(df)) == sorted(want)
 
 
 def test_grounding_issues_and_repair(spark):
