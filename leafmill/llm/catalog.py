@@ -45,8 +45,11 @@ def p5_found(spark, d):
 
 
 def p5_normalised(spark, d):
-    pages = table(spark, d, "pdf_pages").select("page_id", "text", "headings")
-    return lookalike.normalised(pages, "text").select("page_id", "text_look", "text_fold", "headings")
+    return lookalike.normalised(table(spark, d, "pdf_pages").select("page_id", "text", "headings"), "text", "headings").drop("text", "headings")
+
+
+def p5_classes(spark, d):
+    return lookalike.look_classes(table(spark, d, "pdf_pages"))
 
 
 def p6_found(spark, d):
@@ -80,7 +83,7 @@ def p9_clean(spark, d):
     return residue.without_residue(table(spark, d, "documents")).select("doc_id", "source", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_units": p1_units, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_profiles": p3_profiles, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_normalised": p5_normalised, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES = {"p1_found": p1_found, "p1_units": p1_units, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_profiles": p3_profiles, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_normalised": p5_normalised, "p5_classes": p5_classes, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_clean": p9_clean}
 
 ORACLES = {
     "p2_found": r"""

@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.session import materialize
+
 # Letters of other scripts drawn like Latin ones, each written above the letter it looks like.
 LOOKALIKE_FROM = "АВЕЅІЈКМНОРСТУХԌаеіјосрѕухһԁԛԝѵӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳօ"
 LOOKALIKE_INTO = "ABESIJKMHOPCTYXGaeijocpsyxhdqwvlABEZHIKMNOPTYXocjo"
@@ -92,20 +94,31 @@ def fold_look(text: str) -> str:
 
 
 def normalised(df: DataFrame, *columns: str) -> DataFrame:
-    """df with <column>_look and <column>_fold for string columns, made once per distinct value of an Arrow batch."""
-
-    def by(make):
-        @F.pandas_udf("string")
-        def udf(s: pd.Series) -> pd.Series:
-            codes, values = pd.factorize(s)
-            made = pd.Series([make(v) for v in values] + [None], dtype=object)
-            return pd.Series(made.to_numpy()[codes], index=s.index)
+    """df with <column>_look and <column>_fold, strings or arrays of strings like the column, made once per distinct value of an Arrow batch.
 
-        return udf
+    A null value stays null, also inside an array; an empty array stays empty.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in columns}
+
+    def udf_of(kind: str):
+        @F.pandas_udf(f"look {kind}, fold {kind}")
+        def both(s: pd.Series) -> pd.DataFrame:
+            if kind == "string":
+                codes, values = pd.factorize(s)
+                seen = [look(v) for v in values]
+                made = pd.DataFrame({"look": [*seen, None], "fold": [*map(fold_look, seen), None]}, dtype=object)
+                return made.iloc[codes].set_axis(s.index)
+            known: dict[str | None, tuple] = {None: (None, None)}
+            for v in {v for x in s if x is not None for v in x if v is not None}:
+                known[v] = (seen := look(v)), fold_look(seen)
+            of = lambda x, k: None if x is None else [known[v][k] for v in x]
+            return pd.DataFrame({"look": [of(x, 0) for x in s], "fold": [of(x, 1) for x in s]}, index=s.index)
+
+        return both
 
     for c in columns:
-        df = df.withColumn(f"{c}_look", by(look)(F.col(c))).withColumn(f"{c}_fold", by(fold)(F.col(c)))
-    return df
+        df = df.withColumn(f"_{c}", udf_of(kinds[c])(F.col(c)))
+    return df.select(*(c for c in df.columns if c not in {f"_{x}" for x in columns}), *(F.col(f"_{c}.{k}").alias(f"{c}_{k}") for c in columns for k in ("look", "fold")))
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,17 +142,30 @@ def _key(text: str, heads: tuple[str, ...]) -> tuple[bytes, bytes, bytes] | tupl
     return tuple(xxhash.xxh3_128_digest(x) for x in (folds, looks, raw))
 
 
+def _look_keys(pages: DataFrame) -> DataFrame:
+    """page_id, fold_key, look_key, raw_key of the pages with text, written once."""
+    rows = pages.filter((F.length(F.trim("text")) > 0) & F.col("page_id").isNotNull()).select("page_id", "text", "headings")
+    return materialize(rows.mapInPandas(_keys, "page_id long, fold_key binary, look_key binary, raw_key binary"), "look-keys")
+
+
+def look_classes(pages: DataFrame) -> DataFrame:
+    """One row per page with text: page_id, class_id (the least page_id that looks the same), variants (different texts in the class) and
+    links (pages that look the same and differ in a code point). Linear in the pages, whatever the size of a class."""
+    keys = _look_keys(pages)
+    copies = keys.groupBy("fold_key", "look_key", "raw_key").agg(F.count(F.lit(1)).alias("_same"), F.min("page_id").alias("_first"))
+    classes = copies.groupBy("fold_key", "look_key").agg(F.sum("_same").alias("_all"), F.count(F.lit(1)).alias("variants"), F.min("_first").alias("class_id"))
+    rows = keys.join(copies.drop("_first"), ["fold_key", "look_key", "raw_key"]).join(classes, ["fold_key", "look_key"])
+    return rows.select("page_id", "class_id", "variants", (F.col("_all") - F.col("_same")).alias("links"))
+
+
 def identical_pairs(pages: DataFrame) -> DataFrame:
     """(page_id_a, page_id_b): all pairs of pages that look the same and differ in at least one code point.
 
     Blocking by fold_key, the exact check by look_key. Only keys with several variants go on, and each pair of variants is
-    joined by an equi-join on the variant, so rows of one text are never compared with each other.
+    joined by an equi-join on the variant, so rows of one text are never compared with each other. The pairs are what is asked for; where
+    a class has very many copies, look_classes says the same in one row per page.
     """
-    rows = pages.filter((F.length(F.trim("text")) > 0) & F.col("page_id").isNotNull()).select("page_id", "text", "headings")
-    keys = rows.mapInPandas(_keys, "page_id long, fold_key binary, look_key binary, raw_key binary")
-    from leafmill.session import materialize
-
-    keys = materialize(keys, "look-keys")
+    keys = _look_keys(pages)
     variants = keys.groupBy("fold_key", "look_key", "raw_key").agg(F.count(F.lit(1)).alias("n"))
     many = variants.groupBy("fold_key", "look_key").agg(F.collect_list("raw_key").alias("raws")).filter(F.size("raws") > 1)
     first = many.select("raws", F.explode("raws").alias("raw_a"))

@@ -2,8 +2,8 @@
 
 Complement naive Bayes is trained on the labelled sources, whose sentences share the labels, and refined by expectation-maximisation over
 the sentences of all pages, labelled or not: each pass scores every sentence, and its expected counts make the next model. Shares of the
-confident sentences add up to a profile of each source, and a logistic calibration on the labelled sources turns each share into an
-independent posterior per area. An area is assigned from a posterior of one half on; the most probable one always, two at most.
+confident sentences add up to a profile of each source, and a logistic calibration of each area on the labelled sources turns each share into
+an independent posterior. An area is assigned from a posterior of one half on; the most probable one always, two at most.
 
 Features are hashed into a block of fixed size per language, which bounds the model for any corpus; it holds the rows of the features that
 were seen. The complement of an area is taken within the language: few labels in one language do not tilt it.
@@ -32,6 +32,8 @@ FEATURES = 1 << 18
 #: Bound of the labelled sources that the classifier is fitted on; beyond it those with the smallest hash are taken.
 LABELLED_SOURCES = 20_000
 SMOOTHING, ITERATIONS, LABEL_TRUST, CONFIDENT = 0.05, 3, 0.9, 0.75
+#: How firmly an area's own calibration is drawn to that of all areas, in observations.
+AREA_FIRMNESS = 10.0
 
 _CJK_RUN = re.compile("[぀-ヿ㐀-鿿]+")
 _WORDS = re.compile(r"[a-zà-ɏ]{3,}")
@@ -201,25 +203,37 @@ def _profiles(rows: DataFrame, model: Model, areas: int) -> DataFrame:
     return sums.withColumn("sentences", total).filter("sentences > 0").select("src_id", "sentences", F.array(*(F.col(n) / F.col("sentences") for n in names)).alias("share"))
 
 
-def _calibrated(shares: np.ndarray, truth: np.ndarray, rounds: int = 4) -> tuple[float, float]:
-    """Slope and offset of the logistic calibration of all areas together, by Newton's method.
-
-    A few labels are wrong: after each round, labels that the fit calls all but impossible are left out of the next.
-    """
-    x, y = shares.ravel(), truth.ravel().astype(float)
-    a, keep = np.array([10.0, -2.0]), np.ones(len(x), dtype=bool)
-    for _ in range(rounds):
+def _logistic(x: np.ndarray, y: np.ndarray, begin: np.ndarray, firmness: float) -> np.ndarray:
+    """Slope and offset by Newton's method, drawn to `begin` as firmly as so many observations; labels that the fit calls all but impossible are
+    left out of the next of four rounds, for a few are wrong."""
+    a, keep = begin.copy(), np.ones(len(x), dtype=bool)
+    for _ in range(4):
         features, target = np.stack([x[keep], np.ones(keep.sum())]), y[keep]
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a @ features, -30, 30)))
-            grad = features @ (target - p) - 1e-3 * a
-            step = np.linalg.solve((features * (p * (1 - p))) @ features.T + 1e-3 * np.eye(2), grad)
+            grad = features @ (target - p) - firmness * (a - begin) / np.array([100.0, 4.0])
+            step = np.linalg.solve((features * (p * (1 - p))) @ features.T + np.diag(firmness / np.array([100.0, 4.0])) + 1e-6 * np.eye(2), grad)
             a = a + np.clip(step, -5, 5)
             if np.abs(step).max() < 1e-6:
                 break
-        p = 1 / (1 + np.exp(-np.clip(a[0] * x + a[1], -30, 30)))
-        keep = np.abs(y - p) < 0.9
-    return float(a[0]), float(a[1])
+        keep = np.abs(y - 1 / (1 + np.exp(-np.clip(a[0] * x + a[1], -30, 30)))) < 0.9
+    return a
+
+
+def _calibrated(shares: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Slope and offset of each area: a fit of its own, drawn to the one of all areas together as far as its labels are few."""
+    begin = np.array([20.0, -4.0])
+    if not len(shares):
+        return np.tile(begin, (truth.shape[1], 1))
+    shared = _logistic(shares.ravel(), truth.ravel(), begin, 0.1)
+    return np.stack([_logistic(shares[:, k], truth[:, k], shared, AREA_FIRMNESS) for k in range(truth.shape[1])])
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """src_id, text, block: the parts between empty lines, and their hash."""
+    parts = rows.filter(F.col("src_id").isNotNull() & (F.length("text") > 0)).select("src_id", F.explode(F.split("text", r"\n[ \t\r]*\n")).alias("text"))
+    parts = parts.withColumn("text", F.btrim("text", F.lit(" \t\r\n"))).filter(F.length("text") > 0)
+    return parts.withColumn("block", F.xxhash64("text"))
 
 
 def subject_profiles(sources: DataFrame, pages: DataFrame, chunks: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -227,10 +241,9 @@ def subject_profiles(sources: DataFrame, pages: DataFrame, chunks: DataFrame, la
     names = [r["subject"] for r in areas.select("subject").distinct().orderBy("subject").collect()]  # a fixed table of a few rows
     ids = sources.select("src_id").distinct()
     texts = pages.filter((F.length(F.trim("text")) > 0) & F.col("src_id").isNotNull()).select("src_id", "text")
-    # Chunks repeat the text of pages; they speak where a source has no page.
-    alone = ids.join(texts.select("src_id").distinct(), "src_id", "left_anti")
-    texts = texts.unionByName(chunks.filter(F.length("text") > 0).select("src_id", "text").join(alone, "src_id", "left_semi"))
-    rows = materialize(texts.mapInPandas(_features, "src_id long, ids array<int>, sizes array<int>"), "subject-features")
+    # Chunks repeat the text of pages. All are read, and what no page of the source holds speaks as well.
+    own = _blocks(chunks).join(_blocks(texts).select("src_id", "block"), ["src_id", "block"], "left_anti").select("src_id", "text")
+    rows = materialize(texts.unionByName(own).mapInPandas(_features, "src_id long, ids array<int>, sizes array<int>"), "subject-features")
     position = {n: k for k, n in enumerate(names)}
     given = labels.filter(F.col("subject").isin(names)).groupBy("src_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("src_id")).limit(LABELLED_SOURCES)
     known = {r["src_id"]: sorted(position[s] for s in r["subjects"]) for r in given.collect()}
@@ -238,16 +251,15 @@ def subject_profiles(sources: DataFrame, pages: DataFrame, chunks: DataFrame, la
     for _ in range(ITERATIONS):
         model = Model(*_expected(rows, known, len(names), model))
     found = materialize(_profiles(rows, model, len(names)), "subject-shares")
-    fit = found.join(given.select("src_id"), "src_id", "left_semi").toPandas()
-    slope, offset = 20.0, -4.0
-    if len(fit):
-        truth = np.zeros((len(fit), len(names)))
-        for k, s in enumerate(fit["src_id"]):
-            truth[k, known[s]] = 1
-        slope, offset = _calibrated(np.stack(fit["share"]), truth)
+    fit = found.join(given.select("src_id"), "src_id", "left_semi").select("src_id", "share").toPandas().sort_values("src_id")
+    truth = np.zeros((len(fit), len(names)))
+    for k, s in enumerate(fit["src_id"]):
+        truth[k, known[s]] = 1
+    lines = _calibrated(np.stack(fit["share"]) if len(fit) else np.zeros((0, len(names))), truth)
     rows = found.join(ids, "src_id", "left_semi").select("src_id", F.posexplode("share").alias("k", "share"))
-    subject = F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1)
-    return rows.select("src_id", subject.alias("subject"), "share", (1 / (1 + F.exp(-(slope * F.col("share") + offset)))).alias("posterior"))
+    of_area = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("k") + 1)
+    odds = of_area(lines[:, 0].tolist()) * F.col("share") + of_area(lines[:, 1].tolist())
+    return rows.select("src_id", of_area(names).alias("subject"), "share", (1 / (1 + F.exp(-odds))).alias("posterior"))
 
 
 def subjects(profiles: DataFrame, most: int = 2) -> DataFrame:

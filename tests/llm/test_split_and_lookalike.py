@@ -99,3 +99,12 @@ def test_normalised_columns_keep_nulls(spark):
     df = spark.createDataFrame([(1, 1, 1, None, None), (2, 1, 1, "Ａ", None), (3, 1, 1, "Ａ", None)], PAGE)
     got = {r["page_id"]: (r["text_look"], r["text_fold"]) for r in lookalike.normalised(df, "text").collect()}
     assert got == {1: (None, None), 2: ("A", "a"), 3: ("A", "a")}
+
+
+def test_headings_are_normalised_and_classes_count_links(spark):
+    df = spark.createDataFrame([(1, 1, 1, "Ａ１", ["Ｘ", None]), (2, 1, 1, "A1", ["X", None]), (3, 1, 1, "A1", ["X", None]), (4, 1, 1, None, None), (5, 1, 1, "b", []), (6, 1, 1, "a1", ["X", None])], PAGE)
+    got = {r["page_id"]: (r["headings_look"], r["headings_fold"]) for r in lookalike.normalised(df, "text", "headings").collect()}
+    assert got[1] == (["X", None], ["x", None]) == got[2] and got[4] == (None, None) and got[5] == ([], [])
+    rows = {r["page_id"]: (r["class_id"], r["variants"], r["links"]) for r in lookalike.look_classes(df).collect()}
+    assert rows == {1: (1, 2, 2), 2: (1, 2, 1), 3: (1, 2, 1), 5: (5, 1, 0), 6: (6, 1, 0)}
+    assert lookalike.look_classes(df.limit(0)).count() == 0 and lookalike.normalised(df.limit(0), "headings").count() == 0
