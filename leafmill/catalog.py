@@ -1,6 +1,7 @@
 """Queries of the core and their DuckDB SQL."""
 
-from leafmill.plans import documents, relational, reviews, streams
+from leafmill.plans import card_texts, documents, relational, reviews, streams
 
-QUERIES: dict = {**documents.QUERIES, **reviews.QUERIES, **relational.QUERIES, **streams.QUERIES}
-ORACLES: dict = {**documents.ORACLES, **reviews.ORACLES, **relational.ORACLES, **streams.ORACLES}
+_ALL = (documents, reviews, card_texts, relational, streams)
+QUERIES: dict = {name: q for plan in _ALL for name, q in plan.QUERIES.items()}
+ORACLES: dict = {name: sql for plan in _ALL for name, sql in plan.ORACLES.items()}

@@ -175,3 +175,51 @@ def test_sources_sinks_and_providers(spark, tmp_path):
     answers = spark.createDataFrame([('{"a": 1}',), ('text {"a": 2} more',), ("none",)], "s string")
     got = [r[0] for r in answers.select(providers.parsed_json(F.col("s"), "a int")).collect()]
     assert got[0]["a"] == 1 and got[1]["a"] == 2 and (got[2] is None or got[2]["a"] is None)
+
+
+def test_selection_of_visuals_equals_the_walk(spark):
+    rng = random.Random(6)
+    data = []
+    for src in range(12):
+        pages = sorted(rng.randrange(1, 9) for _ in range(rng.randrange(1, 20)))
+        data += [(src, k + 1, p, rng.choice("abcd"), "x") for k, p in enumerate(pages)]
+    df = spark.createDataFrame(data, "src_id int, rank long, page int, topic string, place string")
+    for desired in (4, 7):
+        want = []
+        for src in range(12):
+            mine, chosen = [d for d in data if d[0] == src], []
+            for d in mine:
+                if len(chosen) < desired and d[2] not in {c[2] for c in chosen} and (d[3] not in {c[3] for c in chosen} or len(chosen) < desired // 2):
+                    chosen.append(d)
+            rest = [d for d in mine if d not in chosen][: desired - len(chosen)]
+            want += [(src, d[1]) for d in chosen + rest]
+        assert rows(figures.selected_visuals(df, desired).select("src_id", "rank")) == sorted(want)
+    assert figures.selected_visuals(df.limit(0), 4).count() == 0
+
+
+def test_review_of_odd_scenes(spark):
+    from leafmill.operators import cards, review
+
+    files_ = spark.createDataFrame([("a",), (None,), ("a",)], "path string")
+    scenes = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (4, "gone"), (4, "gone")], "scene_id int, card string")
+    assert rows(review.with_existing(scenes, files_, there="card").select("scene_id", "there")) == [(1, True), (2, False), (3, False), (4, False), (4, False)]
+    s = "scene_id int, status string, pages int, audio_there boolean, subtitle string, subtitle_there boolean, visual_there boolean, visual_type string, source_there boolean, verbatim double"
+    odd = spark.createDataFrame([(1, None, None, False, None, False, False, None, False, None), (2, "failed", None, False, None, False, False, None, False, 1.0), (3, "rendered", 1, True, "x", True, True, "pdf_image", True, 0.2)], s)
+    got = {(r["scene_id"], r["code"]) for r in quality.broken_rules(odd, ["scene_id"], review.asset_rules()).collect()}
+    assert got == {(1, "missing_source_pages"), (1, "missing_audio"), (1, "missing_subtitle"), (1, "missing_visual"), (2, "scene_failed")}
+    assert rows(cards.with_issues(scenes.select("scene_id").distinct(), spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "scene_id int, code string"), "scene_id")) == [(1, ["a", "b"]), (2, []), (3, []), (4, [])]
+    assert quality.broken_rules(odd.limit(0), ["scene_id"], review.asset_rules()).count() == 0
+
+
+def test_retries_are_bounded(spark):
+    tries = spark.createDataFrame([("a", 1, "failed"), ("a", 2, "failed"), ("a", 3, "failed"), ("b", 1, "completed"), ("c", 1, None)], "k string, at int, status string")
+    got = {(r["k"], r["attempt_no"]): r["given_up"] for r in state.retry_numbers(tries, "k", "at", 2).collect()}
+    assert got[("a", 3)] and not got[("a", 2)] and not got[("b", 1)] and not got[("c", 1)]
+    assert rows(state.reset_failed(tries.withColumn("retries", F.lit(4))).select("k", "at", "status", "retries"))[0] == ("a", 1, "pending", 0)
+    assert rows(state.listed(tries, {"k": "a", "status": None}).select("at")) == [(1,), (2,), (3,)]
+
+
+def test_trimming_orders_large_sequence_numbers(spark):
+    """seq beyond 32 bits must not reach into the score."""
+    scenes = spark.createDataFrame([(1, 2**40, 60.0, 1, "x"), (1, 1, 60.0, 2, "x"), (1, 2, 60.0, 3, "x"), (1, 3, 60.0, 4, "x")], "g int, seq long, seconds double, score int, kind string")
+    assert rows(budget.trimmed(scenes, "g", 200.0).select("seq")) == [(1,), (2,), (3,)]
