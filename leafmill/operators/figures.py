@@ -47,9 +47,10 @@ def salience(role: Column, area: Column, pixels: Column, caption: Column, headin
 def inventory(images: DataFrame, pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Images with the role, use and salience that the page around them gives. Images without a page are left out.
 
-    A logo repeats on many pages: its count is a partial aggregate joined back, not a window over the copies.
+    A logo repeats on many pages: its count is a partial aggregate joined back, not a window over the copies. Only pages with an image are
+    put in order of their reads, so the texts of the others are never shuffled.
     """
-    p = latest_pages(pages).select("src_id", "page", F.coalesce("text", F.lit("")).alias("_text"), F.coalesce("headings", F.array().cast("array<string>")).alias("_headings"), F.col("width").alias("_pw"), F.col("height").alias("_ph"))
+    p = latest_pages(pages.join(images.select("src_id", "page").distinct(), ["src_id", "page"], "left_semi")).select("src_id", "page", F.coalesce("text", F.lit("")).alias("_text"), F.coalesce("headings", F.array().cast("array<string>")).alias("_headings"), F.col("width").alias("_pw"), F.col("height").alias("_ph"))
     copies = images.groupBy("src_id", "sha256").agg(F.count(F.lit(1)).alias("copies"))
     rows = images.filter(F.col("pixel_count").isNotNull()).join(copies, ["src_id", "sha256"]).join(p, ["src_id", "page"])
     caption, repeated = F.coalesce("caption_hint", F.lit("")), F.col("copies") > 2
