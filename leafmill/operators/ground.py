@@ -66,19 +66,36 @@ def issues(scenes: DataFrame, evidence: DataFrame, facts: DataFrame, pages: Data
     return rows
 
 
-def repaired(scenes: DataFrame, evidence: DataFrame, facts: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round of repair: evidence on unknown pages goes, then facts that point beyond what is left, then factual scenes without any.
+def repaired(scenes: DataFrame, evidence: DataFrame, facts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of repair by the issues that were found.
 
-    Indices are not moved up, as in the original procedure: a fact that stays may point at another span.
+    A scene loses its evidence on pages that are unknown or on which a quotation of it does not stand, with it the facts that point beyond
+    what is left; a factual scene without evidence goes. Indices are not moved up, as in the original procedure: a fact that stays may
+    point at another span.
     """
-    kept = evidence.join(pages.select("page").distinct(), "page", "left_semi")
+    bad = found.filter(F.col("code").isin("bad_page", "quote_mismatch") & F.col("page").isNotNull()).select("scene_id", "page").distinct()
+    kept = evidence.join(bad, ["scene_id", "page"], "left_anti")
     counts = kept.groupBy("scene_id").agg(F.count(F.lit(1)).alias("spans"))
-    with_counts = facts.join(counts, "scene_id", "left").na.fill(0, ["spans"])
-    facts_kept = with_counts.filter(F.col("evidence_index").isNull() | (F.col("evidence_index") < F.col("spans"))).drop("spans")
-    bare = scenes.join(counts, "scene_id", "left_anti").filter(F.lower("scene_kind").isin(EVIDENCE_KINDS)).select("scene_id")
+    touched = bad.select("scene_id").distinct().withColumn("_touched", F.lit(True))
+    checked = facts.join(touched, "scene_id", "left").join(counts, "scene_id", "left").na.fill(0, ["spans"])
+    facts_kept = checked.filter(F.col("_touched").isNull() | F.col("evidence_index").isNull() | (F.col("evidence_index") < F.col("spans"))).drop("spans", "_touched")
+    bare = scenes.join(counts, "scene_id", "left_anti").filter(F.lower("scene_kind").isin(EVIDENCE_KINDS)).select("scene_id").distinct()
     return scenes.join(bare, "scene_id", "left_anti"), kept.join(bare, "scene_id", "left_anti"), facts_kept.join(bare, "scene_id", "left_anti")
 
 
+def repair_rounds(scenes: DataFrame, evidence: DataFrame, facts: DataFrame, pages: DataFrame, rounds: int = 1, least: float = LEAST_RATIO) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(scenes, evidence, facts, issues that are left) after at most so many rounds of checking and repair. Whoever needs grounded scenes raises if issues are left."""
+    from leafmill.session import materialize
+
+    tables, left = (scenes, evidence, facts), materialize(issues(scenes, evidence, facts, pages, least), "issues")
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        tables = tuple(materialize(t, "repaired") for t in repaired(*tables, left))
+        left = materialize(issues(*tables, pages, least), "issues")
+    return (*tables, left)
+
+
 def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

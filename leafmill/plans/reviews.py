@@ -205,6 +205,21 @@ def automatic_minutes(spark, d):
 
 # ---------------------------------------------------------------- grounding of scenes
 
+def _claims(spark, d):
+    """Scenes made of chunks, which cite the page of their own number, with evidence and facts; every fifth quotes something else."""
+    i = F.col("chunk_key")
+    pages = table(spark, d, "pdf_pages").select(F.col("page_id").alias("page"), "text")
+    kind = F.get(F.array(*map(F.lit, ("cover", "checklist", "risk_warning", "paragraph_card"))), (i % 4).cast("int"))
+    cited = F.when(i % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array(i, i + F.when(i % 7 == 0, 1_000_000_000).otherwise(0)))
+    scenes = table(spark, d, "pdf_chunks").select(i.alias("scene_id"), kind.alias("scene_kind"), cited.alias("source_pages"))
+    spans = scenes.filter("scene_id % 3 = 0").select("scene_id", F.lit(0).alias("idx"), F.when(F.col("scene_id") % 2 == 0, F.lit(-1).cast("long")).otherwise(F.col("scene_id")).alias("page"))
+    quote = F.when(F.col("scene_id") % 5 == 0, "※ 完全不同的一句話 ※").otherwise(F.coalesce(F.substring("text", 1, 40), F.lit("")))
+    spans = spans.join(pages, "page", "left").select("scene_id", "idx", "page", quote.alias("quote"))
+    two = F.array(F.struct(F.lit(0).alias("idx"), F.lit(None).cast("int").alias("evidence_index")), F.struct(F.lit(1).alias("idx"), F.lit(9).alias("evidence_index")))
+    facts = scenes.filter("scene_id % 2 = 0").select("scene_id", F.explode(two).alias("f")).select("scene_id", "f.idx", F.lit("期限").alias("label"), F.lit("high").alias("importance"), "f.evidence_index")
+    return scenes, spans, facts, pages
+
+
 _QUOTE = docs.FORM % "substring(p.text, 1, 40)"
 _G = f"""WITH k AS (SELECT page_id AS page, text FROM pdf_pages), s AS (SELECT chunk_key AS scene_id, CASE chunk_key % 4 WHEN 0 THEN 'cover' WHEN 1 THEN 'checklist' WHEN 2 THEN 'risk_warning' ELSE 'paragraph_card' END AS kind, CASE WHEN chunk_key % 5 = 0 THEN []::BIGINT[] ELSE [chunk_key, chunk_key + CASE WHEN chunk_key % 7 = 0 THEN 1000000000 ELSE 0 END] END AS pages FROM pdf_chunks),
     n AS (SELECT scene_id, CASE WHEN scene_id % 2 = 0 THEN -1 ELSE scene_id END AS page FROM s WHERE scene_id % 3 = 0), f AS (SELECT scene_id, scene_id % 3 = 0 AS backed FROM s WHERE scene_id % 2 = 0)"""
@@ -216,18 +231,42 @@ _G = f"""WITH k AS (SELECT page_id AS page, text FROM pdf_pages), s AS (SELECT c
     UNION ALL SELECT scene_id, 5, 0, 'quote_mismatch' FROM n JOIN k p ON p.page = n.page WHERE scene_id % 5 = 0 OR coalesce(length({_QUOTE}), 0) = 0
     UNION ALL SELECT scene_id, 6, 0, 'fact_without_evidence' FROM f WHERE NOT backed UNION ALL SELECT scene_id, 7, 1, 'evidence_index_out_of_range' FROM f""")
 def grounding_issues(spark, d):
-    """All rules of grounding over scenes made of chunks, which cite the page of their own number; every fifth quotes something else."""
-    i = F.col("chunk_key")
-    pages = table(spark, d, "pdf_pages").select(F.col("page_id").alias("page"), "text")
-    kind = F.get(F.array(*map(F.lit, ("cover", "checklist", "risk_warning", "paragraph_card"))), (i % 4).cast("int"))
-    cited = F.when(i % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array(i, i + F.when(i % 7 == 0, 1_000_000_000).otherwise(0)))
-    scenes = table(spark, d, "pdf_chunks").select(i.alias("scene_id"), kind.alias("scene_kind"), cited.alias("source_pages"))
-    spans = scenes.filter("scene_id % 3 = 0").select("scene_id", F.lit(0).alias("idx"), F.when(F.col("scene_id") % 2 == 0, F.lit(-1).cast("long")).otherwise(F.col("scene_id")).alias("page"))
-    quote = F.when(F.col("scene_id") % 5 == 0, "※ 完全不同的一句話 ※").otherwise(F.coalesce(F.substring("text", 1, 40), F.lit("")))
-    spans = spans.join(pages, "page", "left").select("scene_id", "idx", "page", quote.alias("quote"))
-    two = F.array(F.struct(F.lit(0).alias("idx"), F.lit(None).cast("int").alias("evidence_index")), F.struct(F.lit(1).alias("idx"), F.lit(9).alias("evidence_index")))
-    facts = scenes.filter("scene_id % 2 = 0").select("scene_id", F.explode(two).alias("f")).select("scene_id", "f.idx", F.lit("期限").alias("label"), F.lit("high").alias("importance"), "f.evidence_index")
-    return ground.issues(scenes, spans, facts, pages).select("scene_id", "rule_no", "idx", "code")
+    """All rules of grounding."""
+    return ground.issues(*_claims(spark, d)).select("scene_id", "rule_no", "idx", "code")
+
+
+@query(_G + f""", b AS (SELECT n.scene_id FROM n LEFT JOIN k p ON p.page = n.page WHERE p.page IS NULL OR scene_id % 5 = 0 OR coalesce(length({_QUOTE}), 0) = 0), e AS (SELECT scene_id FROM n WHERE scene_id NOT IN (SELECT scene_id FROM b))
+    SELECT scene_id, (scene_id IN (SELECT scene_id FROM e))::BIGINT AS spans, (CASE WHEN scene_id % 2 = 1 THEN 0 WHEN scene_id IN (SELECT scene_id FROM b) THEN 1 ELSE 2 END)::BIGINT AS facts FROM s WHERE NOT (kind IN ('checklist', 'risk_warning') AND scene_id NOT IN (SELECT scene_id FROM e))""")
+def grounding_repair(spark, d):
+    """What one round of repair leaves of each scene."""
+    scenes, spans, facts, _ = ground.repair_rounds(*_claims(spark, d))
+    n = lambda df, name: df.groupBy("scene_id").agg(F.count(F.lit(1)).alias(name))
+    return scenes.select("scene_id").join(n(spans, "spans"), "scene_id", "left").join(n(facts, "facts"), "scene_id", "left").na.fill(0, ["spans", "facts"])
+
+
+@query("""SELECT doc_id, greatest(1, round_even((doc_id % 50 + 1) * 20 / 60.0::DOUBLE, 0))::INTEGER AS scenes, greatest(40, round_even((doc_id % 50 + 1) * 20 / greatest(1, round_even((doc_id % 50 + 1) * 20 / 60.0::DOUBLE, 0)) / 60.0::DOUBLE * 240, 0))::INTEGER AS chars FROM documents""")
+def scene_lengths(spark, d):
+    """How many scenes a length takes, and of how many characters."""
+    chars, scenes = numeric.chars_per_scene((F.col("doc_id") % 50 + 1) * 20.0)
+    return table(spark, d, "documents").select("doc_id", scenes.alias("scenes"), chars.alias("chars"))
+
+
+@query("""SELECT i.image_id, greatest(0.0, bbox.x0 - 12) AS x0, greatest(0.0, bbox.y0 - 12) AS y0, least(p.w, bbox.x1 + 12) AS x1, least(p.h, bbox.y1 + 12 * 1.4::DOUBLE) AS y1 FROM pdf_images i JOIN (SELECT src_id, page, max(width) AS w, max(height) AS h FROM pdf_pages GROUP BY 1, 2) p ON p.src_id = i.src_id AND p.page = i.page WHERE bbox IS NOT NULL AND p.w IS NOT NULL AND p.h IS NOT NULL""")
+def crop_boxes(spark, d):
+    """Figures with a margin, clipped to their page."""
+    sizes = table(spark, d, "pdf_pages").groupBy("src_id", "page").agg(F.max("width").alias("w"), F.max("height").alias("h")).filter("w IS NOT NULL AND h IS NOT NULL")
+    rows = table(spark, d, "pdf_images").filter("bbox IS NOT NULL").join(sizes, ["src_id", "page"])
+    return rows.select("image_id", numeric.expanded_box(F.col("bbox"), F.col("w"), F.col("h"), 12.0).alias("b")).select("image_id", "b.*")
+
+
+@query("""WITH b AS (SELECT a.image_id, o.image_id AS other, o.bbox AS bb, o.caption_hint AS t FROM pdf_images a JOIN pdf_images o ON o.src_id = a.src_id AND o.page = a.page AND o.image_id <> a.image_id WHERE o.bbox.y0 >= a.bbox.y1 AND o.bbox.y0 - a.bbox.y1 <= 80 AND greatest(0.0, least(o.bbox.x1, a.bbox.x1) - greatest(o.bbox.x0, a.bbox.x0)) / greatest(1.0, a.bbox.x1 - a.bbox.x0) >= 0.25 AND length(trim(coalesce(o.caption_hint, o.sha256))) > 0)
+    SELECT image_id, substring(string_agg(trim(coalesce(t, (SELECT sha256 FROM pdf_images q WHERE q.image_id = b.other))), ' ' ORDER BY bb.y0, trim(coalesce(t, (SELECT sha256 FROM pdf_images q WHERE q.image_id = b.other)))), 1, 200) AS caption FROM b GROUP BY 1""")
+def texts_below_figures(spark, d):
+    """What stands under each figure; the other figures of the page serve as blocks, by their caption or hash."""
+    i = table(spark, d, "pdf_images").filter("bbox IS NOT NULL")
+    images = i.select("image_id", F.col("src_id").alias("doc_id"), "page", "bbox")
+    blocks = i.select(F.col("src_id").alias("doc_id"), "page", "bbox", F.coalesce("caption_hint", "sha256").alias("text"))
+    return figures.captions_below(images, blocks)
 
 
 # ---------------------------------------------------------------- state

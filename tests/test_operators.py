@@ -115,8 +115,13 @@ def test_grounding_issues_and_repair(spark):
     facts = spark.createDataFrame([("a", 0, "期限", "high", 0), ("a", 1, "期限", "high", 7), ("d", 0, "金額", "low", None), ("d", 1, "其他", "low", None)], "scene_id string, idx int, label string, importance string, evidence_index int")
     found = {(r["scene_id"], r["code"]) for r in ground.issues(scenes, evidence, facts, pages).collect()}
     assert found == {("b", "bad_source_page"), ("b", "bad_page"), ("a", "quote_mismatch"), ("d", "no_source_pages"), ("d", "missing_evidence"), ("d", "fact_without_evidence"), ("a", "evidence_index_out_of_range")}
-    s, e, f = ground.repaired(scenes, evidence, facts, pages)
-    assert {r["scene_id"] for r in s.collect()} == {"a", "c", "e"} and e.count() == 2 and f.count() == 1
+    s, e, f, left = ground.repair_rounds(scenes, evidence, facts, pages)
+    # Both quotations of a stand on the page that does not hold the second, so both go and a with them.
+    assert {r["scene_id"] for r in s.collect()} == {"c", "e"} and e.count() == 0 and f.count() == 0 and left.count() == 0
+    more = evidence.filter("idx <> 1").union(spark.createDataFrame([("a", 1, 4, "完全不同的一句話在這裡")], evidence.schema))
+    s, e, f, left = ground.repair_rounds(scenes, more, facts, pages)
+    assert {r["scene_id"] for r in s.collect()} == {"a", "c", "e"} and rows(e.select("scene_id", "idx")) == [("a", 0)] and rows(f.select("scene_id", "idx")) == [("a", 0)] and left.count() == 0
+    assert ground.repair_rounds(scenes, evidence, facts, pages, rounds=0)[3].count() > 0
     assert ground.issues(scenes.limit(0), evidence.limit(0), facts.limit(0), pages).count() == 0
     values = spark.createDataFrame([("共45天與30%", ["45天", ""]), ("共45天", ["30%"]), ("x", None)], "r string, v array<string>")
     assert [r[0] for r in values.select(ground.keeps_values(F.col("r"), F.col("v"))).collect()] == [True, False, True]
