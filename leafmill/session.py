@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,9 @@ DEFAULTS = {
 def local_session(app: str = "leafmill", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session for tests and the bench; a cluster passes its own session instead."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app).config("spark.driver.memory", memory)
-    for key, value in {**DEFAULTS, "spark.sql.shuffle.partitions": str(shuffle_partitions)}.items():
+    own = tempfile.mkdtemp(prefix="leafmill-")  # one machine: its own folder is the shared one, and goes with the process
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    for key, value in {**DEFAULTS, "spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.checkpoint.dir": f"file://{own}"}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -34,10 +38,12 @@ def local_session(app: str = "leafmill", cores: int | str = "*", shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, and one of our own only where that is unset."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only a local session without one gets a folder of its own."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("leafmill.shared.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("leafmill.shared.dir", found)
     return found.rstrip("/")
