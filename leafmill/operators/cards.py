@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import first_named, strip
+from leafmill.functions.text import first_named, joined_text, page_runs, stable_hash, strip
 
 # Groups of things to do by their words, labels of compared pictures by theirs, and storyboards by kind of document.
 CHECKLIST_GROUPS = [
@@ -132,3 +132,45 @@ def to_render(scenes: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """Scenes that failed or have no segment. scenes: key, status; segments: key."""
     gone = scenes.join(segments.select(key).distinct().withColumn("_there", F.lit(True)), key, "left")
     return gone.filter(F.coalesce(F.col("status") == "failed", F.lit(False)) | F.col("_there").isNull()).drop("_there")
+
+
+def screen_text(on_screen: Column, plan_lines: list[Column], payload_words: list[Column], payload_lists: list[Column]) -> Column:
+    """All that a screen shows, as lines without empty ones: its own text, headline, callouts and labels of the plan, then words and lists of the layout.
+
+    plan_lines and payload_lists: columns of strings or of arrays of strings, in the order of reading; payload_words: strings.
+    """
+    as_list = lambda c: F.coalesce(c.cast("array<string>"), F.array().cast("array<string>"))
+    return joined_text(F.array(on_screen), *map(as_list, plan_lines), F.array(*payload_words) if payload_words else F.array().cast("array<string>"), *map(as_list, payload_lists))
+
+
+def anchor_of(candidate_path: Column, page: Column, role: Column, caption: Column, why: Column) -> Column:
+    """A figure as the anchor of a scene."""
+    return F.struct(candidate_path.alias("path"), page.alias("page"), role.alias("visual_role"), caption.alias("caption"), why.alias("why"))
+
+
+def promoted(scenes: DataFrame, document: str, *settings: str) -> DataFrame:
+    """Script scenes as scenes to be made: default references and prompt, a hash of what goes in, pending.
+
+    scenes: scene_id, title, source_pages, source_refs, narration, visual_hint, visual_type, anchor_path. An empty list of references gives
+    one from the pages; settings (a voice, a rate) are part of the hash.
+    """
+    ref = F.concat(F.lit(f"{document} p."), page_runs(F.col("source_pages")))
+    refs = F.when(F.size("source_refs") > 0, F.col("source_refs")).otherwise(F.array(ref))
+    hashed = stable_hash(F.lit("scene"), F.coalesce("narration", F.lit("")), F.coalesce("visual_type", F.lit("")), F.array_sort("source_pages"), *map(F.lit, settings))
+    path = F.when(F.length("anchor_path") > 0, F.array("anchor_path")).otherwise(F.array().cast("array<string>"))
+    prompt = F.coalesce(F.when(F.length("visual_hint") > 0, F.col("visual_hint")), F.col("title"))
+    return scenes.select("scene_id", "title", "source_pages", refs.alias("source_refs"), "narration", prompt.alias("visual_prompt"), "visual_type", path.alias("visual_source_paths"), hashed.alias("input_hash"), F.lit("pending").alias("status"))
+
+
+def chapter_facts(chapters: DataFrame, facts: DataFrame) -> DataFrame:
+    """chapters with how many pages they cover and how many facts stand on them, 0 where there are none. chapters: src_id, chapter_no, first_page, last_page; facts: src_id, page."""
+    pages = chapters.filter(F.col("first_page") <= F.col("last_page")).select("src_id", "chapter_no", F.explode(F.sequence("first_page", "last_page")).alias("page"))
+    counted = pages.join(facts.groupBy("src_id", "page").agg(F.count(F.lit(1)).alias("_f")), ["src_id", "page"], "left")
+    sums = counted.groupBy("src_id", "chapter_no").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.coalesce("_f", F.lit(0))).alias("facts"))
+    return chapters.join(sums, ["src_id", "chapter_no"], "left").na.fill(0, ["pages", "facts"])
+
+
+def refined_kind(kind: Column, answer: Column, known: list[str]) -> Column:
+    """A model's answer where it is one of the known kinds, else the kind that was found."""
+    named = F.lower(strip(F.coalesce(answer, F.lit(""))))
+    return F.when(named.isin(known), named).otherwise(kind)

@@ -89,3 +89,39 @@ def scenes_to_render(spark, d):
     """Failed scenes, and those whose segment is not there: the ones of every eighth page."""
     segments = table(spark, d, "pdf_images").filter("page % 8 <> 1").select(F.col("image_id").alias("scene_id"))
     return cards.to_render(reviews.image_scenes(spark, d), segments, "scene_id").select("scene_id")
+
+
+@query("""SELECT doc_id, concat_ws(chr(10), nullif(source, ''), nullif(doc_kind, ''), nullif(lang, ''), nullif(source, '')) AS screen FROM documents""")
+def screen_texts(spark, d):
+    """What screens show, from the columns of documents in the places of their parts."""
+    c = F.col
+    shown = cards.screen_text(c("source"), [F.array(c("doc_kind"))], [c("lang"), F.lit("")], [F.array(c("source"), F.lit(None).cast("string"))])
+    return table(spark, d, "documents").select("doc_id", shown.alias("screen"))
+
+
+@query("""SELECT chunk_key AS scene_id, CASE WHEN chunk_key % 3 = 0 THEN 'given' ELSE 'doc p.' || start_page || CASE WHEN end_page > start_page THEN '-' || end_page ELSE '' END END AS ref, CASE WHEN chunk_key % 2 = 0 THEN 'hint' ELSE chunk_id END AS visual_prompt, CASE WHEN chunk_key % 5 = 0 THEN 0 ELSE 1 END::INTEGER AS paths,
+    sha256('{"v":"scene"}␟{"v":"' || chunk_id || '"}␟{"v":"card"}␟{"v":' || replace(range(start_page, end_page + 1)::VARCHAR, ', ', ',') || '}␟{"v":"voice"}') AS input_hash, 'pending' AS status FROM pdf_chunks WHERE start_page <= end_page""")
+def promoted_scenes(spark, d):
+    i = F.col("chunk_key")
+    rows = table(spark, d, "pdf_chunks").filter("start_page <= end_page").select(
+        i.alias("scene_id"), F.col("chunk_id").alias("title"), F.sequence("start_page", "end_page").alias("source_pages"), F.when(i % 3 == 0, F.array(F.lit("given"))).otherwise(F.array().cast("array<string>")).alias("source_refs"),
+        F.col("chunk_id").alias("narration"), F.when(i % 2 == 0, "hint").alias("visual_hint"), F.lit("card").alias("visual_type"), F.when(i % 5 != 0, "a.png").alias("anchor_path"),
+    )
+    made = cards.promoted(rows, "doc", "voice")
+    return made.select("scene_id", F.array_join("source_refs", ",").alias("ref"), "visual_prompt", F.size("visual_source_paths").alias("paths"), "input_hash", "status")
+
+
+@query(docs.OUTLINE_SQL + """, pg AS (SELECT src_id, chapter_no, unnest(range(first_page, last_page + 1)) AS page FROM ol), hf AS (SELECT src_id, page, sum(len(headings)) AS f FROM pdf_pages WHERE len(headings) > 0 GROUP BY 1, 2)
+    SELECT ol.src_id, ol.chapter_no, coalesce(n, 0)::BIGINT AS pages, coalesce(f, 0)::BIGINT AS facts FROM ol LEFT JOIN (SELECT pg.src_id, pg.chapter_no, count(*) AS n, sum(coalesce(f, 0)) AS f FROM pg LEFT JOIN hf ON hf.src_id = pg.src_id AND hf.page = pg.page GROUP BY 1, 2) q ON q.src_id = ol.src_id AND q.chapter_no = ol.chapter_no""")
+def chapter_fact_counts(spark, d):
+    """Headings on the pages of each chapter of the outline."""
+    chapters = storyboard.outline(table(spark, d, "pdf_chunks"), 6.0).select("src_id", "chapter_no", "first_page", "last_page")
+    heads = table(spark, d, "pdf_pages").select("src_id", "page", F.explode("headings"))
+    return cards.chapter_facts(chapters, heads).select("src_id", "chapter_no", "pages", "facts")
+
+
+@query("SELECT doc_id, CASE WHEN lower(trim(source)) IN ('contract', 'report') THEN lower(trim(source)) WHEN doc_id % 2 = 0 THEN 'report' ELSE coalesce(doc_kind, 'unknown') END AS kind FROM documents")
+def refined_kinds(spark, d):
+    """Kinds after an answer; every second document gets one that is known."""
+    answer = F.when(F.col("doc_id") % 2 == 0, " Report ").otherwise(F.col("source"))
+    return table(spark, d, "documents").select("doc_id", cards.refined_kind(F.coalesce("doc_kind", F.lit("unknown")), answer, ["contract", "report"]).alias("kind"))
