@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.language import WORDS, language
-from leafmill.llm.lookalike import visible_table
+from leafmill.llm.lookalike import look, visible_table
 
 #: Bound of the sample on which the dictionaries are trained, and bytes of each dictionary.
 SAMPLE_PAGES, DICTIONARY_BYTES = 4000, 32_768
@@ -221,7 +221,11 @@ class Judge:
         """
         if not self.suspect(line):
             return line, "", False
-        best, chain, least = line, "", self.size(line) - LEAST_GAIN
+        best, chain, least = line, "", self.size(line)
+        # Look-alike letters and odd spaces explain a line without any decoding; a chain has to be shorter than that, too.
+        if (seen := look(line)) != line:
+            least = min(least, self.size(seen) + STEP_COST)
+        least -= LEAST_GAIN
         front, reached = [(0, line, "", 0)], {line}
         for step in range(1, MAX_STEPS + 1):
             found = []

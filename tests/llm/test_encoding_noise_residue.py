@@ -60,6 +60,15 @@ def test_garbled_pages_are_found_and_restored(spark):
     assert encoding.garbled_ids(df.limit(0)).count() == 0
 
 
+def test_look_alike_letters_are_no_wrong_encoding(spark):
+    """Pages in which Cyrillic or Greek letters stand for Latin ones, with odd spaces: nothing there was decoded wrongly."""
+    cyrillic, greek = str.maketrans("aeocpxiABEKMHOPCTX", "аеосрхіАВЕКМНОРСТХ"), str.maketrans("oOABEHIKMNPTXZ", "οΟΑΒΕΗΙΚΜΝΡΤΧΖ")
+    pages = clean_pages(400, 1)
+    odd = [(1000 + i, (t.translate(cyrillic if i % 3 else greek)).replace(" ", "\xa0" if i % 2 else " ")) for i, t in pages if i % 4 == 3][:60]
+    found = {r["page_id"] for r in encoding.garbled_ids(spark.createDataFrame(pages + odd, "page_id long, text string")).collect()}
+    assert not found, sorted(found)
+
+
 def scanned(seed):
     """Pages of sources with running headers and page numbers, some words divided and some misread, and what is true of them."""
     rng = random.Random(seed)
