@@ -13,6 +13,7 @@ decodes to itself, but for lone surrogates, which Parquet cannot hold.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain, pairwise
@@ -70,7 +71,7 @@ class WordEncoder:
     """Encodes words with one vocabulary; holds the merge table in a DuckDB connection of its own."""
 
     def __init__(self, folder: str = TOKENIZERS, name: str = VOCABULARY, spill: str = ""):
-        """spill: a folder that a query may spill to; without one it may not."""
+        """spill: a folder in which a query may make one of its own to spill to; without one it may not."""
         import ahocorasick
         import duckdb  # only where words are encoded, not on the driver
 
@@ -88,7 +89,7 @@ class WordEncoder:
             if len(plain) > 1:
                 self.spans.add_word(plain, len(plain))
         self.spans.make_automaton()
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": "false", "temp_directory": spill})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": "false", "temp_directory": spill and f"{spill}/spill-{uuid.uuid4().hex}"})
         first_use: dict[str, int] = {}
         for k, pair in enumerate(merges):
             for x in pair:
@@ -104,6 +105,8 @@ class WordEncoder:
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         starts = np.cumsum(sizes) - sizes
         symbols = pd.DataFrame({"word": np.repeat(np.arange(len(parts)), sizes), "pos": np.arange(len(raw)) - np.repeat(starts, sizes), "token": self.byte_id[raw]})  # noqa: F841
+        # A run that cannot be cut is merged as a whole, however long; it needs some 400 bytes of memory for each of its own.
+        self.db.execute(f"SET memory_limit = '{max(400, 400 * len(raw) // 1_000_000)}MB'")
         for word, ids in self.db.execute(MERGE_QUERY).fetchall():
             self.parts[parts[word]] = tuple(ids)
 
