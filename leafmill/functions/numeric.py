@@ -10,6 +10,16 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A double rounded half away from zero as SQL does it: scaled, rounded to a whole number, scaled back.
+
+    F.round works on the shortest decimal instead, so 28.549999999999997 (0.2855 * 100) to one place is 28.5 there and 28.6 here.
+    What is too large to be scaled stays as it is.
+    """
+    scaled = value.cast("double") * 10.0**places
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**places).otherwise(value.cast("double"))
+
+
 def target_minutes(cjk: Column, pages: Column, headings: Column, per_minute: float = 2200.0, low: float = 3.0, high: float = 120.0, override: Column | None = None) -> Column:
     """Length of a summary: characters by pace within bounds, large structured books between 45 and 90; a numeric override wins."""
     auto = clamp(F.rint(cjk / max(1.0, per_minute)), low, high)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.numeric import rounded
 from leafmill.operators.ground import EVIDENCE_KINDS
 from leafmill.operators.quality import Rule
 
@@ -44,7 +45,7 @@ def asset_rules(verbatim_pct: float = VERBATIM_PCT) -> list[Rule]:
         Rule("missing_subtitle_file", "warning", live(~blank & ~c("subtitle_there")), one),
         Rule("missing_visual", "error", live(~c("visual_there")), one),
         Rule("missing_visual_source", "warning", live((c("visual_type") == "pdf_image") & ~c("source_there")), one),
-        Rule("verbatim_overlap", "warning", live(c("verbatim") * 100 > verbatim_pct), F.round(c("verbatim") * 100, 1)),
+        Rule("verbatim_overlap", "warning", live(c("verbatim") * 100 > verbatim_pct), rounded(c("verbatim") * 100, 1)),
     ]
 
 
@@ -66,7 +67,7 @@ def layout_rules(allow_generated: bool = False) -> list[Rule]:
         Rule("decorative_visual_risk", "warning", words & c("visual_type").isin("generated_image", "pdf_image") & (c("spans") == 0), one),
         Rule("missing_evidence", "error", kind.isin(EVIDENCE_KINDS) & (c("spans") == 0), one),
         Rule("narration_screen_overlap_too_high", "warning", first & (c("overlap") >= MOST_OVERLAP) & (c("screen_chars") >= LEAST_SCREEN_CHARS), c("overlap")),
-        Rule("full_page_tiny_screenshot", "warning", first & (c("role") == "source_page_crop") & c("anchored") & ((aspect < ASPECT_LOW) | (aspect > ASPECT_HIGH)), F.round(aspect, 3)),
+        Rule("full_page_tiny_screenshot", "warning", first & (c("role") == "source_page_crop") & c("anchored") & ((aspect < ASPECT_LOW) | (aspect > ASPECT_HIGH)), rounded(aspect, 3)),
     ]
 
 
@@ -82,9 +83,9 @@ def scene_metrics(scenes: DataFrame, group: str, overlap: Column | None = None)
         F.count_if(kind.isin(EVIDENCE_KINDS)).alias("factual_scenes"), F.count_if(F.col("visual_type") == "generated_image").alias("generated_images"), F.count_if(first).alias("visual_first"),
         F.count_if(first & anchored).alias("source_visual"), F.count_if(~anchored & ~kind.isin(OPENING_KINDS)).alias("text_only"),
         F.sum(F.coalesce("seconds", F.lit(0.0))).alias("seconds"), F.sum(F.when(live, F.coalesce("seconds", F.lit(0.0))).otherwise(0.0)).alias("rendered_seconds"),
-        F.coalesce(F.round(F.avg(F.when(first, F.col("overlap") if overlap is None else overlap)), 3), F.lit(0.0)).alias("mean_overlap"),
+        F.coalesce(rounded(F.avg(F.when(first, F.col("overlap") if overlap is None else overlap)), 3), F.lit(0.0)).alias("mean_overlap"),
     )
-    return out.withColumn("anchor_coverage", F.round(F.col("source_visual") / F.greatest(F.lit(1), F.col("visual_first")), 3))
+    return out.withColumn("anchor_coverage", rounded(F.col("source_visual") / F.greatest(F.lit(1), F.col("visual_first")), 3))
 
 
 def off_target_pct(seconds: Column, target: Column) -> Column:
@@ -99,9 +100,9 @@ def source_rules() -> list[Rule]:
     review, final = off_target_pct(c("seconds"), c("target_seconds")), off_target_pct(c("rendered_seconds"), c("target_seconds"))
     rich = F.coalesce(c("visual_rich"), F.lit(False)) & (c("scenes") > 0)
     return [
-        Rule("low_source_coverage", "warning", coverage < LEAST_COVERAGE_PCT, F.round(coverage, 1)),
-        Rule("duration_off_target", "warning", review > REVIEW_OFF_PCT, F.round(review, 1)),
-        Rule("final_duration_off_target", "warning", (c("rendered_seconds") > 0) & (final > LENGTH_OFF_PCT), F.round(final, 1)),
+        Rule("low_source_coverage", "warning", coverage < LEAST_COVERAGE_PCT, rounded(coverage, 1)),
+        Rule("duration_off_target", "warning", review > REVIEW_OFF_PCT, rounded(review, 1)),
+        Rule("final_duration_off_target", "warning", (c("rendered_seconds") > 0) & (final > LENGTH_OFF_PCT), rounded(final, 1)),
         Rule("image_rich_but_few_source_visuals", "warning", rich & (c("source_visual") < F.greatest(F.lit(1), F.floor(c("scenes") / 3))), c("source_visual")),
         Rule("image_rich_but_mostly_text_cards", "warning", rich & (c("text_only") > c("source_visual")), c("text_only")),
         Rule("source_visuals_available_but_unused", "warning", (c("useful_visuals") > 0) & (c("source_visual") == 0), c("useful_visuals")),
